@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.corpus import table, texts
+from lectern.llm.bpe import token_ids
+from lectern.llm.mixing import Mix
 from lectern.llm.neardup import NearDuplicates, pairs_within
+from lectern.llm.spans import shared_spans
 
 
 def _file_texts(spark: SparkSession, sf: str, *attrs: str) -> DataFrame:
@@ -31,8 +34,42 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf).withColumnRenamed("id", "file_id")
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document."""
+    return token_ids(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, sf: str) -> Mix:
+    return Mix(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Each use of a document in the mix."""
+    return _mix(spark, sf).rows()
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mix(spark, sf).report()
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of at least 200 characters that other documents have too."""
+    return shared_spans(table(spark, sf, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
+def p8_amount(spark: SparkSession, sf: str) -> DataFrame:
+    """For each document with shared spans their number and characters, and their part of the text."""
+    docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"))
+    spans = p8_found(spark, sf).groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
+    return spans.join(docs, "doc_id").withColumn("part", F.col("shared_chars") / F.col("chars"))
+
+
 def queries() -> dict[str, Callable]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {
+        "p1_found": p1_found, "p1_groups": p1_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_amount": p8_amount,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
