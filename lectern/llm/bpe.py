@@ -239,7 +239,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.
         yield pa.concat_arrays(keys), texts
 
 
-def token_ids(docs: DataFrame, key: str, text: str, path: str = VOCABULARY, chunk_chars: int = 16_000_000) -> DataFrame:
+def token_ids(docs: DataFrame, key: str, text: str, path: str = VOCABULARY, chunk_chars: int = 4_000_000) -> DataFrame:
     """(key, ids array<int>): each row's text encoded; the empty list for null and empty texts. Rows aren't merged or dropped;
     other columns of ``docs`` don't matter. No shuffle."""
     kind = docs.schema[key].dataType.simpleString()
@@ -255,7 +255,7 @@ def token_ids(docs: DataFrame, key: str, text: str, path: str = VOCABULARY, chun
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
-def token_counts(docs: DataFrame, keys: list[str], text: str, path: str = VOCABULARY, chunk_chars: int = 16_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, keys: list[str], text: str, path: str = VOCABULARY, chunk_chars: int = 4_000_000) -> DataFrame:
     """The key columns and n_tokens (long): 0 for null and empty texts."""
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
 
