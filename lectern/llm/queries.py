@@ -12,6 +12,7 @@ from lectern.llm.bpe import token_ids
 from lectern.llm.mixing import Mix
 from lectern.llm.neardup import NearDuplicates, pairs_within
 from lectern.llm.spans import shared_spans
+from lectern.llm.splitting import split_oversized
 
 
 def _file_texts(spark: SparkSession, sf: str, *attrs: str) -> DataFrame:
@@ -34,6 +35,19 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf).withColumnRenamed("id", "file_id")
 
 
+def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of all files that are longer than the limit of their kind."""
+    limits = table(spark, sf, "split_limits")
+    least = limits.filter("max_chars > 0").agg(F.coalesce(F.min("max_chars"), F.lit(0))).first()[0]  # a settings table
+    long = table(spark, sf, "file_text").filter(F.length("content") > least)  # before the text is shuffled
+    return split_oversized(texts(table(spark, sf, "files"), long, ["kind"]), limits)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that came out in pieces."""
+    return p2_pieces(spark, sf).filter("piece_no = 1 and n_pieces > 1").select("file_id")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, sf, "documents"), "doc_id", "text")
@@ -67,10 +81,13 @@ def p8_amount(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_amount": p8_amount,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": """SELECT DISTINCT t.file_id FROM file_text t JOIN (SELECT DISTINCT id, kind FROM files) f ON f.id = t.file_id
+JOIN split_limits l USING (kind) WHERE length(t.content) > l.max_chars""",
+    }
