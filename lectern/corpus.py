@@ -45,6 +45,7 @@ def texts(files: DataFrame, file_text: DataFrame, attrs: list[str]) -> DataFrame
     Repeated rows of a file count once; files with no catalogue row or with null content have no text. The text is
     shuffled once, by file_id; the deduplication reuses that partitioning.
     """
-    known = files.filter("id is not null").groupBy(F.col("id").alias("file_id")).agg(*[F.max(a).alias(a) for a in attrs])
+    known = files.filter("id is not null").select(F.col("id").alias("file_id"), *attrs)
+    known = known.groupBy("file_id").agg(*[F.max(a).alias(a) for a in attrs]) if attrs else known.distinct()
     own = file_text.filter("content is not null and file_id is not null").select("file_id", "content", "encoding")
     return own.join(known, "file_id").dropDuplicates(["file_id"])
