@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.corpus import table, texts
 from lectern.llm.bpe import token_ids
 from lectern.llm.mixing import Mix
+from lectern.llm.mojibake import Garbled
 from lectern.llm.neardup import NearDuplicates, pairs_within
 from lectern.llm.spans import shared_spans
 from lectern.llm.splitting import split_oversized
@@ -48,6 +49,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pieces(spark, sf).filter("piece_no = 1 and n_pieces > 1").select("file_id")
 
 
+def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with garbled passages, with their text as far as it can be restored."""
+    return Garbled(_file_texts(spark, sf).select("file_id", "content")).restored().withColumnRenamed("id", "file_id")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that hold text decoded with a wrong charset."""
+    return p4_restored(spark, sf).select("file_id")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, sf, "documents"), "doc_id", "text")
@@ -81,7 +92,7 @@ def p8_amount(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_amount": p8_amount,
     }
 
