@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.corpus import table, texts
 from lectern.llm.bpe import token_ids
+from lectern.llm.markup import analyse_markup, model
 from lectern.llm.mixing import Mix
 from lectern.llm.mojibake import Garbled
 from lectern.llm.neardup import NearDuplicates, pairs_within
@@ -59,6 +60,25 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_restored(spark, sf).select("file_id")
 
 
+#: Kinds of files whose texts are documents.
+_DOCUMENTS = ["markdown", "html", "text", "pdf", "docx", "pptx"]
+
+
+def _marked(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
+    rows = _file_texts(spark, sf, "kind").filter(F.col("kind").isin(_DOCUMENTS)).select("file_id", "content")
+    return analyse_markup(rows, model(), with_text)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The markup languages that occur in each document file."""
+    return _marked(spark, sf, False).select(F.col("id").alias("file_id"), F.explode("markups").alias("markup"))
+
+
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean text of the document files with markup."""
+    return _marked(spark, sf, True).filter("clean is not null").select(F.col("id").alias("file_id"), "markups", "clean")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, sf, "documents"), "doc_id", "text")
@@ -92,7 +112,7 @@ def p8_amount(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_amount": p8_amount,
     }
 
