@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lectern.plans import increments
+from lectern.plans import catalogs, documents, extracts, increments, searches
 
-FLAGSHIP = "p3_found"
-_MODULES = [increments]
+FLAGSHIP = "ft_search_word"
+_MODULES = [searches, catalogs, documents, extracts, increments]
 
 
 def queries() -> dict[str, Callable]:
