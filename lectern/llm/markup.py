@@ -331,12 +331,12 @@ def clean(page: Page, labels: list[str]) -> str:
     """The document's text without markup, structure kept."""
     out = list(page.lines)
     drop: set[int] = set()
-    code = False
+    code, last = False, 0
     for j, (i, label) in enumerate(zip(page.items, labels, strict=True)):
         role, mask, line = label.split(":")[0], page.langs[j], page.lines[i]
         opens = role == "code" and not code
         if code and role != "code":
-            out[i - 1] += "\n```"
+            out[last] += "\n```"
             code = False
         if label == "text":
             continue
@@ -344,9 +344,10 @@ def clean(page: Page, labels: list[str]) -> str:
             mark = _RE["md_fence"].match(line) or re.match(r"\s*(?:\\(?:begin|end)\{(?:verbatim|lstlisting)\}|</?pre>|</?code>|\s)+$", line, re.I)
             body = "" if mark else (line if page.code[j] else _strip(line, mask & 1))
             if mark and not opens:
-                drop.add(i)
+                out[i], code = "```", False
+                continue
             out[i] = ("```\n" if opens and body else "```" if opens else "") + body
-            code = True
+            code, last = True, i
             continue
         if role == "skip":
             drop.add(i)
