@@ -37,10 +37,10 @@ class CRF:
         self.emit, self.move, self.begin = np.zeros((features, labels)), np.zeros((labels, labels)), np.zeros(labels)
 
     def scores(self, c: Chains) -> np.ndarray:
-        owner = np.repeat(np.arange(len(c.ends)), np.diff(c.ends, prepend=0))
-        out = np.zeros((len(c.ends), self.emit.shape[1]))
-        np.add.at(out, owner, self.emit[c.ids])
-        return out
+        """Sums of the weights of each item's features; every item has at least one."""
+        if not len(c.ends):
+            return np.zeros((0, self.emit.shape[1]))
+        return np.add.reduceat(self.emit[c.ids], np.concatenate([[0], c.ends[:-1]]), axis=0)
 
     def fit(self, c: Chains, gold: np.ndarray, rounds: int = 60, rate: float = 0.5, l2: float = 0.02) -> CRF:
         """Maximum penalised likelihood: full-batch AdaGrad on forward-backward expectations."""
@@ -71,8 +71,8 @@ class CRF:
                     move += np.exp(alpha[t, :k2, :, None] + self.move + ahead[:, None, :] - z[:k2, None, None]).sum(0)
                 emit[at[:k, t]] = np.exp(alpha[t, :k] + beta[t, :k] - z[:k, None])
             first = at[:, 0]
-            d_emit = np.zeros_like(self.emit)
-            np.add.at(d_emit, c.ids, (one[gold] - emit)[owner])
+            rest = (one[gold] - emit)[owner]
+            d_emit = np.column_stack([np.bincount(c.ids, rest[:, k], len(self.emit)) for k in range(labels)])
             inner = np.ones(len(gold), bool)
             inner[np.cumsum(c.lengths) - c.lengths] = False
             d_move = -move
