@@ -13,8 +13,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks; null stays null."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without marks; null stays null. Texts without such letters are spared the slower translation."""
+    return F.when(c.rlike("[\u00c0-\u017f]"), F.translate(F.lower(c), MARKED, PLAIN)).otherwise(F.lower(c))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ascii_lower, like_contains, occurrences, padded, snippet, token_count, tokens
+from lectern.functions.text import ascii_lower, fold, like_contains, occurrences, padded, snippet, tokens
 from lectern.session import materialize, shuffle_width
 
 TERMS_MOST = 16
@@ -100,19 +100,29 @@ class Filters:
         return reduce(lambda a, b: a & b, parts)
 
 
+def _latest(texts: DataFrame, key: str, cols: list[Column]) -> DataFrame:
+    """(key, cols) of the last indexed row of each text. The columns are computed before the shuffle, so that numbers travel and
+    texts stay; without a column ``indexed_at`` the rows are taken as they are."""
+    if "indexed_at" not in texts.columns:
+        return texts.select(key, *cols)
+    own = texts.filter(F.col(key).isNotNull()).select(key, F.struct("indexed_at", "name", "path", F.struct(*cols).alias("v")).alias("row"))
+    return own.groupBy(key).agg(F.max("row").alias("row")).select(key, "row.v.*")
+
+
 def bm25(texts: DataFrame, phrases: list[Phrase], key: str = "file_id", weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(key, bm25): negative scores, the best lowest, of the texts that hold every phrase inside one field each.
 
-    One scan: counts of the phrases and lengths; the statistics are one row, joined back. Null fields count as empty; with no
-    phrase or an empty table the result is empty.
+    One scan: counts of the phrases and lengths, the counts only where the phrase's first word occurs at all; the statistics are
+    one row, joined back. Null fields count as empty; with no phrase or an empty table the result is empty.
     """
     fields = [c for c in weights if c in texts.columns]
-    pad = texts.select(key, *[padded(F.col(c)).alias(c) for c in fields])
-    length = reduce(lambda a, b: a + b, [token_count(F.col(c)) for c in fields])
-    freq = [reduce(lambda a, b: a + b, [weights[c] * occurrences(F.col(c), p.needle) for c in fields]) for p in phrases]
-    rows = pad.select(key, length.alias("len"), *[f.alias(f"f{i}") for i, f in enumerate(freq)])
     if not phrases:
-        return rows.select(key, F.lit(0.0).alias("bm25")).limit(0)
+        return texts.select(key, F.lit(0.0).alias("bm25")).limit(0)
+    cols = [reduce(lambda a, b: a + b, [F.coalesce(F.regexp_count(F.lower(c), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)) for c in fields]).alias("len")]
+    for i, p in enumerate(phrases):
+        each = [F.when(F.contains(fold(F.col(c)), F.lit(p.words[0])), weights[c] * occurrences(padded(F.col(c)), p.needle)).otherwise(0.0) for c in fields]
+        cols.append(reduce(lambda a, b: a + b, each).alias(f"f{i}"))
+    rows = _latest(texts, key, cols)
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(phrases))])
     both = rows.filter(reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in range(len(phrases))])).join(F.broadcast(stats))  # one row
     total = F.lit(0.0)
@@ -130,7 +140,7 @@ def grams(texts: DataFrame, phrases: list[str], key: str = "file_id", fields: tu
     if not phrases or any(len(p) < 3 for p in phrases):
         return texts.select(key).limit(0)
     cond = [reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(p.lower())), F.lit(False)) for c in fields]) for p in phrases]
-    return texts.filter(reduce(lambda a, b: a & b, cond)).select(key)
+    return _latest(texts, key, [reduce(lambda a, b: a & b, cond).alias("hit")]).filter("hit").select(key)
 
 
 def likes(files: DataFrame, texts: DataFrame, q: str, key: str = "file_id") -> DataFrame:
@@ -138,7 +148,7 @@ def likes(files: DataFrame, texts: DataFrame, q: str, key: str = "file_id") -> D
     q = q.strip()
     if not q:
         return files.limit(0)
-    body = texts.select(key, like_contains(F.col("content"), q).alias("_in"))
+    body = _latest(texts, key, [like_contains(F.col("content"), q).alias("_in")])
     return files.join(body, key, "left").filter(F.coalesce(like_contains(F.col("name"), q) | like_contains(F.col("rel_path"), q), F.lit(False)) | F.coalesce("_in", F.lit(False))).drop("_in")
 
 
@@ -195,7 +205,7 @@ def search(files: DataFrame, texts: DataFrame, favorites: DataFrame, q: str, as_
         rows = rows.filter("favorite")
     rows = rows.withColumn("total", F.count("*").over(W.partitionBy(F.lit(1))))  # at most 1 100 candidates
     page = materialize(rows.orderBy(*order(sort)).offset(offset).limit(limit).select("file_id", "name", "rel_path", "kind", "score", "favorite", "total"), "page")  # at most 200 rows
-    body = texts.select("file_id", "content").join(F.broadcast(page.select("file_id")), "file_id", "left_semi")
+    body = _latest(texts.join(F.broadcast(page.select("file_id")), "file_id", "left_semi"), "file_id", [F.col("content")])
     return page.join(body, "file_id", "left").withColumn("snippet", snippet(F.col("content"), F.col("rel_path"), query_terms(q))).drop("content")
 
 

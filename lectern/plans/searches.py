@@ -18,9 +18,13 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The text rows; the search takes the last indexed row of each file."""
+    return table(spark, sf, "file_text").select("file_id", "indexed_at", "name", "path", "content")
+
+
+def _last_texts(spark: SparkSession, sf: str) -> DataFrame:
     """One text row for each file: the last indexed."""
-    rows = table(spark, sf, "file_text").filter("file_id is not null")
-    return latest(rows, "file_id", ["indexed_at"], ["name", "path", "content"])
+    return latest(_texts(spark, sf).filter("file_id is not null"), "file_id", ["indexed_at"], ["name", "path", "content"])
 
 
 def _favorites(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +46,7 @@ def _bm25(q: str):
 
 
 def _index_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    index = S.TextIndex.build(_texts(spark, sf))
+    index = S.TextIndex.build(_last_texts(spark, sf))
     return index.bm25(S.compile_query("backup archiv")).select("file_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -72,7 +76,7 @@ def _related(spark: SparkSession, sf: str) -> DataFrame:
 
 def _df(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency and occurrences of every term."""
-    rows = S.postings(_texts(spark, sf))
+    rows = S.postings(_last_texts(spark, sf))
     return rows.groupBy("term").agg(F.countDistinct("file_id").alias("df"), F.sum("tf").alias("n")).filter("df > 20")
 
 
