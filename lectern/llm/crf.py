@@ -6,13 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_NO = -1e30
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
 
 @dataclass
 class Chains:
@@ -49,27 +42,33 @@ class CRF:
         owner = np.repeat(np.arange(len(c.ends)), np.diff(c.ends, prepend=0))
         labels = len(self.begin)
         one = np.eye(labels)
+        size = (at >= 0).sum(0).tolist()
         sums = [np.full_like(w, 1e-8) for w in (self.emit, self.move, self.begin)]
         for _ in range(rounds):
-            s = np.vstack([self.scores(c), np.zeros(labels)])  # the last row stands for padding
-            alpha = np.zeros((steps, n, labels))
-            alpha[0] = self.begin + s[at[:, 0]]
+            s = self.scores(c)
+            psi = np.exp(s - s.max(axis=1, keepdims=True))
+            step = np.exp(self.move - self.move.max())
+            # forward and backward sums, each step scaled to sum 1; the longest chains come first
+            alpha = [np.exp(self.begin - self.begin.max()) * psi[at[:, 0]]]
+            alpha[0] /= alpha[0].sum(1, keepdims=True)
             for t in range(1, steps):
-                on = at[:, t] >= 0
-                k = int(on.sum())  # the longest chains come first
-                alpha[t, :k] = _lse(alpha[t - 1, :k, :, None] + self.move, 1) + s[at[:k, t]]
-            last = c.lengths[order] - 1
-            z = _lse(alpha[last, np.arange(n)], 1)
-            beta = np.zeros((steps, n, labels))
+                k = size[t]
+                x = (alpha[t - 1][:k] @ step) * psi[at[:k, t]]
+                alpha.append(x / x.sum(1, keepdims=True))
             emit, move = np.zeros((len(c.ends), labels)), np.zeros_like(self.move)
+            beta = np.ones((size[-1], labels))
             for t in range(steps - 1, -1, -1):
-                k = int((at[:, t] >= 0).sum())
-                k2 = int((at[:, t + 1] >= 0).sum()) if t + 1 < steps else 0
+                k, k2 = size[t], size[t + 1] if t + 1 < steps else 0
+                now = np.ones((k, labels))
                 if k2:
-                    ahead = s[at[:k2, t + 1]] + beta[t + 1, :k2]
-                    beta[t, :k2] = _lse(self.move + ahead[:, None, :], 2)
-                    move += np.exp(alpha[t, :k2, :, None] + self.move + ahead[:, None, :] - z[:k2, None, None]).sum(0)
-                emit[at[:k, t]] = np.exp(alpha[t, :k] + beta[t, :k] - z[:k, None])
+                    ahead = psi[at[:k2, t + 1]] * beta[:k2]
+                    now[:k2] = ahead @ step.T
+                    z = (alpha[t][:k2] * now[:k2]).sum(1, keepdims=True)
+                    move += (alpha[t][:k2].T @ (ahead / z)) * step
+                    now[:k2] /= now[:k2].sum(1, keepdims=True)
+                m = alpha[t] * now
+                emit[at[:k, t]] = m / m.sum(1, keepdims=True)
+                beta = now
             first = at[:, 0]
             rest = (one[gold] - emit)[owner]
             d_emit = np.column_stack([np.bincount(c.ids, rest[:, k], len(self.emit)) for k in range(labels)])

@@ -15,6 +15,7 @@ from lectern.llm.mojibake import Garbled
 from lectern.llm.neardup import NearDuplicates, pairs_within
 from lectern.llm.spans import shared_spans
 from lectern.llm.splitting import split_oversized
+from lectern.session import spread
 
 
 def _file_texts(spark: SparkSession, sf: str, *attrs: str) -> DataFrame:
@@ -81,11 +82,11 @@ def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
-    return token_ids(table(spark, sf, "documents"), "doc_id", "text")
+    return token_ids(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _mix(spark: SparkSession, sf: str) -> Mix:
-    return Mix(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "mix_targets"))
+    return Mix(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), table(spark, sf, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +101,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of at least 200 characters that other documents have too."""
-    return shared_spans(table(spark, sf, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+    return shared_spans(spread(table(spark, sf, "documents").select("doc_id", "text"))).withColumnRenamed("doc", "doc_id")
 
 
 def p8_amount(spark: SparkSession, sf: str) -> DataFrame:
