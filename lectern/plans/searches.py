@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.corpus import current_files, latest, table
 from lectern.functions.text import MARKED, PLAIN, highlight
 from lectern.operators import search as S
+from lectern.session import spread
 
 AS_OF = 1767225600.0
 _COLS = "kb_id parent_rel path rel_path name ext kind mtime_ns is_dir is_deleted".split()
@@ -19,7 +20,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """The text rows; the search takes the last indexed row of each file."""
-    return table(spark, sf, "file_text").select("file_id", "indexed_at", "name", "path", "content")
+    return spread(table(spark, sf, "file_text").select("file_id", "indexed_at", "name", "path", "content"))
 
 
 def _last_texts(spark: SparkSession, sf: str) -> DataFrame:

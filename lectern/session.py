@@ -49,3 +49,10 @@ def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None =
 def shuffle_width(spark: SparkSession) -> int:
     """Number of hash ranges for operators that cut their key space themselves: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over more partitions if it has less than half as many as there are cores: a small table in one file would keep
+    one core busy. Inputs of many blocks stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df

@@ -22,7 +22,7 @@ def score(text: str) -> float:
     if not sample:
         return 0.0
     points, high = 0.0, 0
-    for c in sample:
+    for before, c, after in zip(" " + sample, sample, sample[1:] + " ", strict=False):
         o = ord(c)
         if o < 0x80:
             points += 1 if o >= 32 or c in "\t\n\r" else -5
@@ -35,7 +35,8 @@ def score(text: str) -> float:
         elif 0x4E00 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or 0x3000 <= o <= 0x303F or 0xFF00 <= o <= 0xFF5E:
             points += 0.8
         elif 0x400 <= o <= 0x45F:
-            points += 1.2 if c.islower() else 0.6
+            mixed = (before.isascii() and before.isalpha()) or (after.isascii() and after.isalpha())
+            points += -1 if mixed else 1.2 if c.islower() else 0.6
         elif 0xC0 <= o <= 0x24F:
             points += 1.0 if c.islower() else 0.3
         else:

@@ -26,8 +26,9 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
         self.root = options["path"]
-        self.depth = int(options.get("maxDepth", 32))
+        self.depth = int(options.get("maxdepth", 32))
         given = options.get("exclude")
         self.exclude = set(given.split(",") if given is not None else EXCLUDED_DIRS)
 
