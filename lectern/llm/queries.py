@@ -118,8 +118,30 @@ def queries() -> dict[str, Callable]:
     }
 
 
+_SPANS_SQL = """WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT DISTINCT doc_id, i FROM w JOIN s USING (h)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS first FROM m),
+n AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g)
+SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM n GROUP BY doc_id, k"""
+_GROUPS_SQL = """WITH RECURSIVE t AS (SELECT DISTINCT f.id AS file_id, lower(f.name || chr(10) || x.content) AS s FROM file_text x JOIN files f ON f.id = x.file_id WHERE x.content IS NOT NULL AND trim(x.content) <> ''),
+k AS (SELECT file_id, regexp_extract_all(regexp_replace(s, '([\\\\x{3040}-\\\\x{30FF}\\\\x{3400}-\\\\x{9FFF}])', ' \\\\1 ', 'g'), '[\\\\x{3040}-\\\\x{30FF}\\\\x{3400}-\\\\x{9FFF}]|[\\\\p{L}\\\\p{N}]+') AS a FROM t),
+g AS (SELECT DISTINCT file_id, array_to_string(a[i:i + 4], ' ') AS s FROM (SELECT file_id, a, unnest(range(1, len(a) - 3)) AS i FROM k WHERE len(a) >= 5)),
+n AS (SELECT file_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.file_id < b.file_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.file_id = a JOIN n y ON y.file_id = b WHERE c >= 0.6 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(x, y) AS (SELECT a, b FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
+SELECT x AS file_id_a, y AS file_id_b FROM r WHERE x < y"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _GROUPS_SQL,
+        "p8_found": _SPANS_SQL,
+        "p8_amount": f"""SELECT doc_id, count(*) AS spans, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars, any_value(chars) AS chars,
+  sum(span_end - span_start) / any_value(chars) AS part FROM ({_SPANS_SQL}) JOIN (SELECT doc_id, length(text) AS chars FROM documents) USING (doc_id) GROUP BY 1""",
         "p2_found": """SELECT DISTINCT t.file_id FROM file_text t JOIN (SELECT DISTINCT id, kind FROM files) f ON f.id = t.file_id
 JOIN split_limits l USING (kind) WHERE length(t.content) > l.max_chars""",
     }
