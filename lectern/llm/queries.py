@@ -126,7 +126,7 @@ g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY
 n AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g)
 SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM n GROUP BY doc_id, k"""
 _GROUPS_SQL = """WITH RECURSIVE t AS (SELECT DISTINCT f.id AS file_id, lower(f.name || chr(10) || x.content) AS s FROM file_text x JOIN files f ON f.id = x.file_id WHERE x.content IS NOT NULL AND trim(x.content) <> ''),
-k AS (SELECT file_id, regexp_extract_all(regexp_replace(s, '([\\\\x{3040}-\\\\x{30FF}\\\\x{3400}-\\\\x{9FFF}])', ' \\\\1 ', 'g'), '[\\\\x{3040}-\\\\x{30FF}\\\\x{3400}-\\\\x{9FFF}]|[\\\\p{L}\\\\p{N}]+') AS a FROM t),
+k AS (SELECT file_id, regexp_extract_all(regexp_replace(s, '([\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}])', ' \\1 ', 'g'), '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]|[\\p{L}\\p{N}]+') AS a FROM t),
 g AS (SELECT DISTINCT file_id, array_to_string(a[i:i + 4], ' ') AS s FROM (SELECT file_id, a, unnest(range(1, len(a) - 3)) AS i FROM k WHERE len(a) >= 5)),
 n AS (SELECT file_id, count(*) AS n FROM g GROUP BY 1),
 o AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.file_id < b.file_id GROUP BY 1, 2),
