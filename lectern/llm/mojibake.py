@@ -34,14 +34,14 @@ from lectern.session import materialize
 
 _SINGLE = "cp1252 cp1252w latin-1 cp437 cp850 mac_roman cp1250 cp1251 koi8-r cp866".split()
 _MULTI = "gb18030 big5 euc-kr shift_jis euc-jp".split()
+_CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 #: Bytes that no decoder could read, several in a row: lost text.
 _LOST = re.compile("�{2}|[A-Za-z]�[a-z]")
-#: A character inside a word that is no letter: the garbled form of one that is.
-_INSIDE = re.compile(r"(?<=[a-z])([^\x00-\x7f\xad\u2019\u00b7\w])(?=[a-z])")
+#: A character inside a word that is no letter of its script: the garbled form of one letter, or of a letter and the next.
+_INSIDE = re.compile(rf"(?<=[a-z])([^\x00-\x7f\xad\u2019\u00b7\w])(?=[a-z])|(?<=[A-Za-z])([{_CJK}])(?=[a-z])")
 _CYRILLIC = re.compile("[\u0400-\u04ff]+")
 _RIGHT_WORD = "utf-8 cp1252 cp1250 cp1251 koi8-r cp866 mac_roman cp850".split()
 _RIGHT_CJK = "utf-8 gb18030 big5 shift_jis euc-jp".split()
-_CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 _IS_CJK = re.compile(f"[{_CJK}]")
 #: Spaces and CJK or full-width punctuation end a word.
 _WORD = re.compile("[A-Za-z\u0080-῿‐-‧‰-⿿぀-﻿｡-\U0010ffff]+")
@@ -116,7 +116,7 @@ def _tokens(text: str) -> set[str]:
         for w in _WORD.findall(text):
             if len(w) <= WORD_MOST and not w.isascii() and (len(w) < 4 or len(_IS_CJK.findall(w)) < 4):
                 out.add("w" + w)
-        out.update("c" + c for c in _INSIDE.findall(text))
+        out.update("c" + (a or b) for a, b in _INSIDE.findall(text))
     return out
 
 
@@ -205,6 +205,11 @@ def _forms_of_char(c: str) -> Iterator[tuple[str, str, tuple[str, str, int]]]:
         for chain in chains(False):
             if chain[0] in _SINGLE and chain[1] in _SINGLE and (form := garble(c, chain)) and len(form) == 1 and _INSIDE.search("a" + form + "a"):
                 yield "c" + form, c, chain
+        for right in ("cp1252", "cp1250"):
+            for wrong in _MULTI:
+                for x in "abcdefghijklmnopqrstuvwxyz":
+                    if (form := garble(c + x, (right, wrong, 1))) and len(form) == 1 and _IS_CJK.match(form):
+                        yield "c" + form, c + x, (right, wrong, 1)
     for chain in dict.fromkeys([*chains(True), *chains(False)]) if _IS_CJK.match(c) or not c.isalpha() else chains(False):
         if chain[1] in _SINGLE and (form := garble(c, chain)) and form != c:
             for p in _pairs(form):
