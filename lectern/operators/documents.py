@@ -21,6 +21,27 @@ def sections(texts: DataFrame, key: str = "file_id", text: str = "content") -> D
     )
 
 
+def section_texts(texts: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
+    """The sections with their text, lines joined by line feeds."""
+    lines = F.split(text, r"\r\n|\r|\n")
+    own = texts.filter(F.col(text).isNotNull()).select(key, lines.alias("_lines"))
+    rows = sections(texts, key, text).join(own, key)
+    return rows.select(key, "unit_no", "label", F.array_join(F.slice("_lines", F.col("start_line") + 1, F.col("lines")), "\n").alias("content"))
+
+
+def locate_units(units: DataFrame, phrases: list[str], most: int = 20, key: str = "file_id") -> DataFrame:
+    """The first unit of each file among the first ``most`` units, over all files, that hold every phrase, whatever the case.
+    Phrases under three characters match nothing."""
+    if not phrases or any(len(p) < 3 for p in phrases):
+        return units.select(key, "unit_no", "label").limit(0)
+    hit = F.lit(True)
+    for p in phrases:
+        hit &= F.contains(F.lower("content"), F.lit(p.lower()))
+    first = units.filter(hit).select(key, "unit_no", "label").orderBy(key, "unit_no").limit(most)
+    top = F.min(F.struct("unit_no", "label")).alias("u")
+    return first.groupBy(key).agg(top).select(key, "u.unit_no", "u.label")
+
+
 def row_blocks(texts: DataFrame, size: int = 200, most: int = 20_000, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, block, first_row, rows, head): the non-blank lines of tables in blocks of ``size``. Lines beyond ``most`` are the
     reader's bound for previews."""

@@ -68,6 +68,7 @@ QUERIES = {
     "sc_range_parse": lambda spark, sf: spark.sql(f"SELECT * FROM {_RNG}").select("id", X.byte_range(F.col("s"), F.lit(1000)).alias("r")).select("id", "r.start", "r.end"),
     "sc_image_header": lambda spark, sf: spark.sql(f"SELECT * FROM {_PNG}").select("id", F.coalesce(X.png_size(F.col("s")), X.gif_size(F.col("s"))).alias("z")).select("id", "z.w", "z.h"),
     "md_sections": lambda spark, sf: D.sections(_texts(spark, sf, "markdown")),
+    "ft_units": lambda spark, sf: D.locate_units(D.section_texts(_texts(spark, sf, "markdown")), ["backup", "The"]),
     "csv_units": lambda spark, sf: D.row_blocks(_texts(spark, sf, "csv", "xlsx")),
     "csv_page": lambda spark, sf: D.row_page(_texts(spark, sf, "csv"), 1, 3).select("file_id", "r", F.array_join("c", "~").alias("cells")),
     "yaml_keys": lambda spark, sf: _texts(spark, sf, "yaml").select("file_id", F.array_join(X.yaml_keys(F.col("content")), " ").alias("keys")),
@@ -99,6 +100,11 @@ SQL = {
 h AS (SELECT * FROM e WHERE regexp_matches(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$'))
 SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY i) AS unit_no, length(regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 1)) AS level,
   regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2) AS label, i AS start_line, coalesce(lead(i) OVER (PARTITION BY file_id ORDER BY i), n) - i AS lines FROM h""",
+    "ft_units": f"""WITH l AS (SELECT file_id, {_LINES} AS a FROM {_T} WHERE kind = 'markdown'), e AS (SELECT file_id, a, len(a) AS n, unnest(a) AS line, unnest(range(len(a))) AS i FROM l),
+h AS (SELECT *, row_number() OVER w AS unit_no, coalesce(lead(i) OVER w, n) AS stop FROM e WHERE regexp_matches(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$') WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+u AS (SELECT file_id, unit_no, regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2) AS label, lower(array_to_string(a[i + 1:stop], chr(10))) AS c FROM h),
+k AS (SELECT file_id, unit_no, label FROM u WHERE contains(c, 'backup') AND contains(c, 'the') ORDER BY file_id, unit_no LIMIT 20)
+SELECT file_id, min(unit_no) AS unit_no, arg_min(label, unit_no) AS label FROM k GROUP BY 1""",
     "csv_units": f"""WITH l AS (SELECT file_id, {_FULL} AS a FROM {_T} WHERE kind IN ('csv', 'xlsx')), e AS (SELECT file_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM l)
 SELECT file_id, i // 200 AS block, min(i) AS first_row, count(*) AS rows, arg_min(line, i) AS head FROM e WHERE i < 20000 GROUP BY 1, 2""",
     "csv_page": f"""WITH l AS (SELECT file_id, {_FULL}[2:4] AS a FROM {_T} WHERE kind = 'csv')
