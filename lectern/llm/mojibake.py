@@ -3,8 +3,12 @@
 Method: dictionary of garbled forms. The corpus' own vocabulary, with document frequencies, is counted: *words* (short runs of
 letters with a non-ASCII character) and *pairs* of neighbouring non-ASCII characters, which stand for words where a script
 writes none. Each word and each CJK pair is garbled under every chain (right encoding, wrong encoding, how often). A form that
-occurs in the corpus, and less often than its original, is an entry of the table. Documents are hash-joined against the table on
-their tokens; what was found is verified by decoding back and substituted.
+occurs in the corpus, and less often than its original, is an entry of the table; frequencies count distinct texts, so that copies
+say nothing. Documents are hash-joined against the table on their tokens; what was found is verified by decoding back and substituted.
+
+A garbled form may be more common than its original. Where the right encoding writes several bytes a character, such a form stays in
+the table as *exact*: it counts only where the passage decodes back without a gap, and the passage is long enough or a word of the
+document decodes back to a word of the corpus under the same chain.
 
 A passage of non-ASCII characters is restored when pairs that are entries for one chain cover most of it and it decodes back under that
 chain; a word when its entry decodes back to the frequent original. Lost bytes (U+FFFD) stay lost; the rest around them is
@@ -39,6 +43,7 @@ _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 _LOST = re.compile("�{2}|[A-Za-z]�[a-z]")
 #: A character inside a word that is no letter of its script: the garbled form of one letter, or of a letter and the next.
 _INSIDE = re.compile(rf"(?<=[a-z])([^\x00-\x7f\xad\u2019\u00b7\w])(?=[a-z])|(?<=[A-Za-z])([{_CJK}])(?=[a-z])")
+_BOXES = re.compile("[\u2500-\u257f]+")
 _CYRILLIC = re.compile("[\u0400-\u04ff]+")
 _RIGHT_WORD = "utf-8 cp1252 cp1250 cp1251 koi8-r cp866 mac_roman cp850".split()
 _RIGHT_CJK = "utf-8 gb18030 big5 shift_jis euc-jp".split()
@@ -132,6 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             if not text.isascii():
                 seen.update(_tokens(text))
+                seen.update(set("".join(_HIGH.findall(text))))  # the characters, for their own frequency
         if len(seen) > 1_000_000:
             yield out()
     yield out()
@@ -184,6 +190,8 @@ def _forms_of(tok: str) -> Iterator[tuple[str, str, tuple[str, str, int]]]:
         for chain in chains(False):
             form = garble(word + " ", chain)
             if form and form.endswith(" ") and (form := form[:-1]) != word and not form.isascii() and len(form) <= WORD_MOST and _WORD.fullmatch(form):
+                if chain[1] == "utf-8" and "�" not in form:  # valid sequences: the word is the garbled form of this one
+                    continue
                 if len(form) > 2 and len(word) > 2 and form.count("�") <= min(2, len(form) - 2) and _LETTERS.fullmatch(word.replace("\u2019", "")):
                     yield "w" + form, word, chain
     elif len(tok) == 2 and _IS_CJK.match(tok) and _IS_CJK.match(tok[1]):
@@ -232,6 +240,14 @@ def _chain(name: str) -> tuple[str, str, int]:
     return r, w, int(n)
 
 
+def _exact(key: str, orig: str, chain: tuple[str, str, int]) -> bool:
+    """Whether the bytes themselves can prove the form: a word that decodes back, or a pair of sequences of several bytes."""
+    if key[0] == "w":
+        return chain[0] == "utf-8" and restore(key[1:], chain) == orig
+    # between two encodings of two bytes a character nearly every text is valid both ways, so that their bytes prove nothing
+    return key[0] > "\x7f" and (chain[0] == "utf-8" or chain[0] in _RIGHT_CJK and chain[1] in _SINGLE and not _CYRILLIC.search(key))
+
+
 def _generate(keep: Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,7 +258,8 @@ def _generate(keep: Filter):
                 ok = keep.keep([r[0] for r in rows])
                 rows = [r for r, good in zip(rows, ok.tolist(), strict=True) if good]
             cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["tok", "orig", "chain", "odf"])
+            exact = [_exact(k, o, _chain(c)) for k, o, c, _ in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64()), pa.array(exact, pa.bool_())], ["tok", "orig", "chain", "odf", "exact"])
 
     return run
 
@@ -297,27 +314,52 @@ def _weight(run: str, chain: tuple[str, str, int]) -> float:
     return (len(run) - 1) * (1.0 if chain[0] == "utf-8" else 0.3)
 
 
-def repair(text: str, hits: dict[str, tuple[set[str], dict[str, tuple[int, str]]]], least: float = 0.6, enough: float = 1.0) -> tuple[str, float, int]:
+Hits = tuple[set[str], dict[str, tuple[int, str]], set[str], dict[str, tuple[int, str]]]
+
+
+def repair(text: str, hits: dict[str, Hits], least: float = 0.6, enough: float = 1.0) -> tuple[str, float, int]:
     """(restored text, weight of restored passages, restored words). hits: for each chain its pairs and its words with (document
-    frequency, original). Where all passages together weigh less than ``enough``, they stay as they are."""
-    order = sorted(hits, key=lambda c: (-len(hits[c][0]), -len(hits[c][1]), c))
+    frequency, original), and the same of the exact entries. Where all passages together weigh less than ``enough``, they stay as they are."""
+    order = sorted(hits, key=lambda c: (-len(hits[c][0]), -len(hits[c][1]), -len(hits[c][2]), c))
     best: dict[str, tuple[int, str]] = {}
-    for _, own in hits.values():
+    for _, own, _, _ in hits.values():
         for w, o in own.items():
             best[w] = max(o, best.get(w, (0, "")))
+    proof: dict[str, tuple[int, str]] = {}
+    for _, _, _, own in hits.values():
+        for w, o in own.items():
+            proof[w] = max(o, proof.get(w, (0, "")))
+    best = proof | best
+    confirmed = {name for name, (_, sure, _, exact) in hits.items() if exact or any(_chain(name)[0] == "utf-8" and restore(w, _chain(name)) == o for w, (_, o) in sure.items())}
     weight: Counter = Counter()
     words = 0
 
+    def proves(run: str, new: str, name: str, chain: tuple[str, str, int]) -> bool:
+        """Whether the bytes of a passage suffice, however common its pairs are."""
+        if new.count("�") > run.count("�"):
+            return False
+        if _CYRILLIC.fullmatch(run) and run not in hits[name][1] and run not in hits[name][3]:  # a word whose bytes happen to be valid
+            return False
+        if chain[0] != "utf-8" and (_CYRILLIC.search(run) or _covered(run, hits[name][0] | hits[name][2]) < len(run)):
+            return False
+        following = len(_to_bytes(new.replace("�", ""), chain[0]) or b"") - len(new.replace("�", ""))
+        return name in confirmed or following >= 3
+
     def attempt(run: str, name: str, share: float) -> str | None:
-        known = hits[name][0]
-        if not known or _covered(run, known) < share * len(run):
+        known, _, more, _ = hits[name]
+        proved = not known or _covered(run, known) < share * len(run)
+        if proved and (not more or _covered(run, known | more) < share * len(run)):
             return None
         chain = _chain(name)
-        if chain[0] in _RIGHT_CJK[1:] and _CYRILLIC.fullmatch(run):  # letters of one alphabet read as a word, not as bytes
+        if chain[0] in _RIGHT_CJK[1:] and (_CYRILLIC.fullmatch(run) or run in best and _CYRILLIC.fullmatch(best[run][1])):  # letters of one alphabet read as a word, not as bytes
             return None
         new = _back(run, chain)
         if new is None or new == run or not (len(new) < len(run) or chain[1] in _MULTI):
             return None
+        if chain[0] in _RIGHT_CJK[1:] and _BOXES.fullmatch(new):  # no text
+            return None
+        if proved and not proves(run, new, name, chain):
+            return None
         weight[name] += _weight(run, chain)
         return new
 
@@ -362,7 +404,8 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
             hits: dict = {}
             for h in found:
-                pairs, words = hits.setdefault(h["chain"], (set(), {}))
+                sure = hits.setdefault(h["chain"], (set(), {}, set(), {}))
+                pairs, words = sure[:2] if h["sure"] else sure[2:]
                 if h["tok"][0] == "c":
                     words[h["tok"]] = (h["odf"], h["orig"])
                 elif h["word"]:
@@ -384,31 +427,30 @@ class Garbled:
     def __init__(self, records: DataFrame, filter_bits: int = 24):
         key, text = records.columns[:2]
         self.records = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-        vocabulary = self.records.select("text").mapInArrow(_count, "tok string, df long").groupBy("tok").agg(F.sum("df").alias("df"))
+        distinct = self.records.select("text").filter("length(text) < octet_length(text)").distinct()  # copies count once
+        vocabulary = distinct.mapInArrow(_count, "tok string, df long").groupBy("tok").agg(F.sum("df").alias("df"))
         self.vocabulary = materialize(vocabulary, "vocabulary")
         has = Filter(self.vocabulary.select("tok"), filter_bits)
-        letters = F.explode(F.split(F.regexp_replace("tok", "[\\x00-\\x7f]", ""), ""))
-        chars = self.vocabulary.select(letters.alias("tok"), "df").filter("tok <> ''").groupBy("tok").agg(F.max("df").alias("df"))
-        source = self.vocabulary.select("tok", "df", F.lit(False).alias("char")).union(chars.select("tok", "df", F.lit(True).alias("char")))
+        source = self.vocabulary.select("tok", "df", (F.length("tok") == 1).alias("char"))
         kind = F.length("orig") > 1
         word = kind & F.col("tok").startswith("w") & (F.length("tok") > 2) & ~F.col("orig").rlike(f"[{_CJK}]")
-        forms = source.mapInArrow(_generate(has), "tok string, orig string, chain string, odf long")
-        forms = forms.groupBy("tok", "chain").agg(F.max(F.struct("odf", "orig")).alias("top")).select("tok", "chain", "top.orig", "top.odf", word.alias("word"))
+        forms = source.mapInArrow(_generate(has), "tok string, orig string, chain string, odf long, exact boolean")
+        forms = forms.groupBy("tok", "chain").agg(F.max(F.struct("odf", "orig", "exact")).alias("top")).select("tok", "chain", "top.orig", "top.odf", "top.exact", word.alias("word"))
         # an original that is itself a garbled form of a more frequent word is not clean
         enough = (F.col("odf") >= F.when(F.col("word"), 3).otherwise(2) * F.col("df")) & (~F.col("word") | (F.col("odf") >= 3))
-        forms = materialize(forms.join(self.vocabulary, "tok").filter(enough), "forms")
+        forms = materialize(forms.join(self.vocabulary, "tok").withColumn("sure", enough).filter("sure or exact"), "forms")
         dirty = forms.filter("word").select(F.substring("tok", 2, 1000).alias("orig")).distinct()
         self.table = materialize(forms.filter("word").join(dirty, "orig", "left_anti").select(forms.columns).union(forms.filter("not word")), "table")
         self.bits = filter_bits
 
     def hits(self) -> DataFrame:
-        """(id, tok, chain, orig, odf, word): the entries of the table that a record has."""
+        """(id, tok, chain, orig, odf, word, sure): the entries of the table that a record has."""
         keep = Filter(self.table.select("tok").distinct(), self.bits)
         return self.records.mapInArrow(_match(keep), "id long, tok string").join(self.table, "tok")
 
     def restored(self) -> DataFrame:
         """(id, restored, weight, words, lost): lost counts the characters that stay U+FFFD."""
-        found = self.hits().groupBy("id").agg(F.collect_list(F.struct("tok", "chain", "orig", "odf", "word")).alias("found"))
+        found = self.hits().groupBy("id").agg(F.collect_list(F.struct("tok", "chain", "orig", "odf", "word", "sure")).alias("found"))
         some = self.records.join(found, "id", "left").filter(F.col("found").isNotNull() | F.col("text").contains("��"))
-        none = F.array().cast("array<struct<tok:string,chain:string,orig:string,odf:bigint,word:boolean>>")
+        none = F.array().cast("array<struct<tok:string,chain:string,orig:string,odf:bigint,word:boolean,sure:boolean>>")
         return some.select("id", "text", F.coalesce("found", none).alias("found")).mapInArrow(_restored, "id long, restored string, weight double, words int, lost int")

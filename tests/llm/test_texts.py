@@ -157,3 +157,18 @@ def test_mix(spark):
     late = {x.source: x for x in more.report().collect()}
     assert late["small"].most_uses == 3 and late["big"].most_uses == 1 and late["big"].mixed_tokens == late["big"].tokens
     assert Mix(docs.limit(0), targets).rows().count() == 0 and Mix(docs, targets.limit(0)).rows().count() == 0
+
+
+def test_garbled_text_that_is_common_is_found(spark):
+    french = "Le café était fermé, la fenêtre brisée et le garçon très fâché à côté."
+    bad = french.encode().decode("latin-1")
+    clean = [f"{french} Numéro {i}." for i in range(12)]
+    copies = [bad] * 60
+    others = [f"{bad} NumÃ©ro {i}." for i in range(60)]
+    lost = "список".encode("cp866").decode()  # valid UTF-8 by chance
+    russian = [f"Если список пропал, {i}" for i in range(30)] + [f"{lost} {i}" for i in range(3)]
+    rows = [(i, t) for i, t in enumerate(clean + copies + others + russian)]
+    df = spark.createDataFrame(rows, "file_id long, content string")
+    got = {x.id: x.restored for x in mojibake.Garbled(df, filter_bits=20).restored().collect()}
+    assert set(got) & set(range(162)) == set(range(12, 132))
+    assert got[12] == french and got[131] == f"{french} Numéro 59."
