@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.llm import bpe, mojibake
-from lectern.llm.markup import LABELS, LANGS, Page, analyse, chains, model, training_pages
+from lectern.llm.markup import LABELS, LANGS, Model, analyse, clean, labelled, model, training_pages
 from lectern.llm.mixing import Mix, apportion
 from lectern.llm.splitting import boundaries, pieces, split_oversized
 
@@ -75,11 +75,50 @@ def test_garbled_files_are_found_and_restored(spark):
 
 
 def test_markup_model_on_held_out_pages():
-    pages = training_pages(60, 4242)
-    own = [Page(t) for t, _ in pages]
-    got = model().decode(chains(own))
-    gold = [x for _, labels in pages for x in labels]
-    assert sum(LABELS[a] == b for a, b in zip(got, gold, strict=True)) / len(gold) > 0.97
+    made = [labelled(p) for p in training_pages(60, 4242)]
+    got = [x for own in model().labels([p for p, _ in made]) for x in own]
+    gold = [x for _, labels in made for x in labels]
+    assert sum(LABELS[a] == b for a, b in zip(got, gold, strict=True)) / len(gold) > 0.98
+
+
+#: Lines of the library, labelled by hand with the languages they hold (h, m, w, l).
+BY_HAND = [
+    ("Please compare fengilwil_map.pdf with the portable backup on 2021-02-27.", ""), ("gilholun_size_218 and __ are names", ""), ("Xayor: a < 294 and b > 298, else a == 294", ""),
+    ("Mapra costs $6 to $56, R&D & more.", ""), ("C:\\Users\\sojorel\\temp\\519.log", ""), ("use <narcorsa-folder> as the target, see [28]", ""), ("Yorzen [A-889] {889} ~889 min", ""),
+    ("Ticket #413 and #420 are about Hoin.", ""), ("* Três lições: lição, estação, máquina (útil).", ""), ("+ Entre contraseña y espacio hay 245 señales de Selnar.", ""), ("索引 & Pradel & 413 \\\\", ""),
+    ("详见kabritri_table.csv，里面写了怎样恢复fibotri。", ""), ("A coleзгo Nezaval nгo recomeзou reuniгo atй 2020-08-22.", ""), ("Dbelfizen_table.csv‚ðŒ©‚ê‚Î�ARiquiso‚ª‚Ç‚¤•_ƒtƒHƒ‹ƒ_‚ð•œŒ³‚·‚é", ""),
+    ("Relkel événement recette\n========================", "m"), ("Tafen brouillon étape\n---------------------", "m"), ("| relevé | Kaho | 767 |\n|---|:--|--:|\n| modèle | Relnefi | 974 |", "m"), ("```sh\ntacorxa --selfikel 135\n```", "m"),
+    ("~~~\nlunbo --vomel 462\n~~~", "m"), ("- [ ] La sección 729 explica cómo Dadra cambió cada niñez.", "m"), ("Según delwiltel-list.yaml, reunión ~~sigue útil~~ y reunión no.", "m"), ("- ¿Quién leyó [tamaño](docs/bohobe.md) si Mivalta está válido?", "m"),
+    ("gráfico `no. El 2024-07-21,` T.F contó 241 páginas", "m"), ("# Valho 说明书账本 #", "m"), ("只`有A.D知道`Lunbrizen为什么会打印缩略图。", "m"), ("> 全部で66枚、フォルダ、印刷機、予定表の順です。", "m"), ("when Norkelval __is slow and the__ survey is portable", "m"), ("![Hoxakel](img/hoxakel.png)", "m"),
+    ("== Calmelba worksheet archive ==", "w"), ('{| class="wikitable"\n|-\n| checklist || Delselza || 408\n|}', "w"), ("A reader without a {{note|survey imports}} Indane17 at all", "w"), ("Last remote notebook: Draka. [[File:Xane.png|thumb]]", "w"), ("opens Relsa at all is still open. [[Ingar#Venquiin]]s", "w"),
+    ("* Melnefi wählt jeden [[Peltel|Abend 382 Stücke]] und druckt den Rest.", "w"), ("{{math|a = 34}}", "w"), ("* Mellorel ersetzt ''jeden'' Abend 67 Stücke.", "w"), ("=== Garvenvo manual manual ===", "w"),
+    ("\\section*{Jori}", "l"), ("There were 97 pages about Relgilne, mostly missing. \\textit{Holun}", "l"), ("missing and the receipt is slow. $n^2 + j^2 \\le 23$", "l"), ("aber Änderung schon günstig. \\(z_{r} = 8r\\)", "l"), ("$$\nz^2 + r^2 \\le 47\n$$", "l"), ("$$\\sum_{v=1}^{38} a_v^2$$", "l"), ("K.N wrote. \\alpha_{3} \\times \\beta", "l"),
+    ('<div class="sohodel">第106步：改名账本。</div>', "h"), ("这一点B.M已经说明。&nbsp;&mdash; Neracor</p>", "h"), ("<!DOCTYPE html>", "h"), ("<li>如果硬盘看起来是安静的，就不要重建备份。</li>", "h"), ("lunwilbo --x 791</code></pre>", "h"), ("the remote quota. <a\nhref='yorwil.html'>Yorwil</a>", "h"), ("<sub>Wilsarel</sub>", "h"), ("<p><i>x</i><sup>2</sup> &le; 54</p>", "h"),
+    ("<p>\\(x_q = \\frac{38}{q+1}\\)</p>", "hl"), ("## Brielhal38 收据草稿 ##\n\n一共有[43个说明](docs/fensobe.md)书。<br/>", "hm"), ("Keep Relxa away [[Delfirel|from the]] printer.<br />", "hw"),
+]
+
+
+def test_markup_model_on_lines_labelled_by_hand():
+    names = dict(zip("hmwl", LANGS, strict=True))
+    wrong = []
+    for (text, langs), (_, _, mask) in zip(BY_HAND, analyse([t for t, _ in BY_HAND], model()), strict=True):
+        if {g for i, g in enumerate(LANGS) if mask >> i & 1} != {names[c] for c in langs}:
+            wrong.append(text)
+    assert len(wrong) <= 1, wrong
+
+
+def test_the_model_decides():
+    """An untrained field finds nothing: no pattern stands beside the model."""
+    from lectern.llm.crf import CRF
+
+    blank = Model(model().names, CRF(len(model().names), len(LABELS)))
+    assert not any(mask for _, _, mask in analyse([t for t, _ in BY_HAND], blank))
+
+
+def test_deep_and_long_documents():
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    (_, labels, mask), (_, none, empty) = analyse([deep, ""], model())
+    assert mask == 1 and len(labels) == 6001 and not none and not empty
 
 
 @pytest.mark.parametrize(
@@ -105,11 +144,12 @@ def test_markup_languages(text, langs):
 
 
 def test_clean_text_keeps_structure():
-    from lectern.llm.markup import clean
-
-    page, labels, _ = analyse(["<h2>Big &amp; bold</h2>\n<ul>\n<li>one</li>\n</ul>\n\n```\ncode *x*\n```\n\nsee **this** and $a^2$\n\n| a | b |\n|---|---|\n| 1 | 2 |"], model())[0]
+    source = "<h2>Big &amp; bold</h2>\n<ul>\n<li>one</li>\n</ul>\n\n```\ncode *x*\n```\n\nsee **this** and $a^2$\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n== Wiki ==\n''soft'' [[Link|shown]]\n\nTitle\n=====\n\n\\section{A}\n\\begin{equation}\nx = 1\n\\end{equation}"
+    page, labels, _ = analyse([source], model())[0]
     text = clean(page, labels)
-    assert "## Big & bold" in text and "- one" in text and "```\ncode *x*\n```" in text and "see this" in text and "a | b" in text and "|---|" not in text
+    for part in ("## Big & bold", "- one", "```\ncode *x*\n```", "see this and $a^2$", "a | b\n1 | 2", "## Wiki", "soft shown", "# Title", "# A", "$x = 1$"):
+        assert part in text, (part, text)
+    assert "|---|" not in text and "=====" not in text and "begin" not in text
 
 
 def test_ids_equal_the_public_library(spark):
