@@ -631,10 +631,17 @@ def clean(page: Page, labels: list[int]) -> str:
     dropped = "\x00"  # marks what was taken out: a line of nothing else goes
 
     def heading_above() -> None:
+        """Puts a heading's mark before the last line that is not blank; looks back no further than that line."""
         i = len(out) - 1
-        body = "".join(out).rstrip("\n")
-        cut = body.rfind("\n") + 1
-        out[:] = [body[:cut] + "# " + body[cut:].lstrip("# ") + "\n"] if i >= 0 else out
+        while i >= 0 and not out[i].strip("\n"):
+            i -= 1
+        while i >= 0 and "\n" not in out[i].rstrip("\n"):
+            i -= 1
+        if i < 0:
+            out.insert(0, "# ")
+        else:
+            cut = out[i].rstrip("\n").rfind("\n") + 1
+            out[i] = out[i][:cut] + "# " + out[i][cut:].lstrip()
 
     for (s, e), shape, label, inside in zip(page.spans, page.shapes, labels, page.inside, strict=True):
         out.append(text[at:s])
