@@ -51,6 +51,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads, from the plan's file listings and without a job; None where a source gives no size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 2**60 else None
+
+
+def hash_ranges(df: DataFrame, mb: int) -> int:
+    """Number of hash ranges of about ``mb`` megabytes each that hold as many bytes as ``df`` reads; at least the session's shuffle width."""
+    size = input_bytes(df)
+    return max(shuffle_width(df.sparkSession), -(-(size or 0) // (mb << 20)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, over more partitions if it has less than half as many as there are cores: a small table in one file would keep
     one core busy. Inputs of many blocks stay as they are, without a shuffle."""
