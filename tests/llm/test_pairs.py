@@ -60,10 +60,11 @@ def test_shingles_follow_the_definition():
     assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for t in texts]
 
 
-@pytest.mark.parametrize("limit", [64, 3])
-def test_groups_equal_brute_force(spark, limit):
+@pytest.mark.parametrize(("patience", "hot"), [(16.0, 10_000), (0.0, 10_000), (0.0, 3)])
+def test_groups_equal_brute_force(spark, patience, hot):
     texts = make(120, 3)
-    got = NearDuplicates(frame(spark, texts), 0.6, list_limit=limit).groups()
+    got = NearDuplicates(frame(spark, texts), 0.6, patience=patience, hot_least=hot).groups()
+    assert got.count() == 120
     assert {tuple(r) for r in pairs_within(got).collect()} == groups_of(texts, 0.6)
 
 
@@ -79,10 +80,41 @@ def test_a_hot_group_with_chains_loses_no_link(spark):
         texts[i] = " ".join(w)
     for i in range(90, 100):
         texts[i] = " ".join(base[: 38 - (i - 90)] + [f"y{j}" for j in range(12)])
-    got = NearDuplicates(frame(spark, texts), 0.6, list_limit=4).groups()
+    got = NearDuplicates(frame(spark, texts), 0.6, patience=1.0, hot_least=30).groups()
     assert {tuple(r) for r in pairs_within(got).collect()} == groups_of(texts, 0.6)
 
 
+class Counting(NearDuplicates):
+    pairs = 0
+
+    def _verify(self, pairs):
+        got = super()._verify(pairs)
+        self.pairs += got.count()
+        return got
+
+
+def test_a_shared_template_gives_no_candidates(spark):
+    """Records that share 65 % of their text and have no similar pair."""
+    n = 1600
+    template = [f"t{i}" for i in range(130)]
+    texts = {i: " ".join([*template, *(f"u{i}x{j}" for j in range(62 + i % 9))]) for i in range(n)}
+    near = Counting(frame(spark, texts), 0.6)
+    assert pairs_within(near.groups()).count() == 0 and near.pairs < 10 * n
+
+
+def test_a_large_group_costs_its_length(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = {}
+    for i in range(600):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(80)] = f"x{i}"
+        texts[i] = " ".join(w)
+    near = Counting(frame(spark, texts), 0.6, patience=1.0)
+    assert {x.group_id for x in near.groups().collect()} == {0} and near.pairs < 10 * len(texts)
+
+
 def test_records_without_text_copies_and_extra_columns(spark):
     long = " ".join(f"t{i}" for i in range(20))
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n\u3000", "x"), (4, long, "y"), (5, long, None), (None, long, "z"), (6, "a b c d", "x"), (7, "a b c d", "x")]
