@@ -1,43 +1,36 @@
 """Processing only new or changed records (problem 3).
 
-A *manifest* holds one row for each processed file: its identity (size, mtime_ns, ctime_ns, inode), a checksum of it and the
-batch that wrote it. A run anti-joins the listing against the manifest, writes what is left under a batch id that follows from
-the work itself, and only then commits the manifest.
-
-* A crash before the write leaves nothing; a crash between write and commit leaves a batch that no manifest names: the next
-  run derives the same batch id from the same manifest and listing, overwrites it, and commits. So nothing is skipped or repeated.
-* The commit is one rename of a finished file, which is atomic on HDFS-like systems and local disks.
-
-Nulls: an identity with a null never equals anything, so such a file is due on every run. Listing rows repeat: one row counts.
-An empty listing gives an empty batch and commits nothing.
+A *manifest* holds one row for each processed file: its identity (size, mtime_ns, ctime_ns, inode, and a checksum of the file where
+the listing brings one as a further identity column; the catalogue has no file contents, so none is made up here) and the number of the
+batch that wrote it. A run anti-joins the listing against the manifest, writes what is due under a batch id that follows from the work
+itself, and only then commits.
+
+* A crash before the commit leaves files that no commit names: the next run derives the same batch id from the same manifest and
+  listing, overwrites them, and commits. So nothing is skipped or repeated.
+* A commit is the appearance of one finished file ``commits/<number>``, which exists or not, and can be made once only: by a hard link
+  on local disks and by a rename that refuses to overwrite elsewhere. Of two runs with one number the second fails. (On object stores
+  without such a rename the folder ``commits`` has to lie on a file system that has it.)
+* A batch writes its own rows only (a delta); every ``fanout`` deltas are merged into one. The commit names the parts of the manifest.
+
+Nulls: an identity with a null never equals anything, so such a file is due on every run. Rows without a key are no files. Listing rows
+repeat: of each key the greatest by ``order`` counts. An empty listing, or one in which nothing is due, commits nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.commits import CommitLog
 from lectern.corpus import current_files, latest, live
 from lectern.session import materialize
 
 IDENTITY = ["size", "mtime_ns", "ctime_ns", "inode"]
 
 
-def checksum(cols: list[str] = IDENTITY) -> Column:
-    """128 bits over the identity columns, null if one of them is null."""
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-    return F.when(_none_null(cols), F.md5(text))
-
-
-def _none_null(cols: list[str]) -> Column:
-    out = F.lit(True)
-    for c in cols:
-        out &= F.col(c).isNotNull()
-    return out
-
-
 def listing(files: DataFrame) -> DataFrame:
     """Live files of the catalogue: current row, no directory, no symlink, not deleted. Columns: file_id, identity."""
     now = current_files(files, [*IDENTITY, "is_dir", "is_symlink", "is_deleted"])
@@ -54,62 +47,79 @@ def manifest_from_log(index_log: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def pending(listed: DataFrame, manifest: DataFrame, key: str = "file_id", identity: list[str] = IDENTITY) -> DataFrame:
-    """Rows of the listing with no equal row in the manifest: one anti-join on the key and the checksum, then on every column
-    of the identity, so that equal checksums alone never hide a change."""
-    a = listed.withColumn("_sum", checksum(identity)).alias("l")
-    b = manifest.select(key, *identity).withColumn("_sum", checksum(identity)).alias("m")
-    same = F.col(f"l.{key}") == F.col(f"m.{key}")
-    for c in ["_sum", *identity]:
-        same &= F.col(f"l.{c}") == F.col(f"m.{c}")
-    return a.join(b, same, "left_anti").drop("_sum")
+    """Rows of the listing with no equal row in the manifest: one anti-join on the key and every column of the identity."""
+    a, b = listed.alias("l"), manifest.select(key, *identity).alias("m")
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{c}") == F.col(f"m.{c}") for c in [key, *identity]])
+    return a.join(b, same, "left_anti")
 
 
 class IncrementalRun:
     """Batches of changed rows with exactly-once output in the folder ``root``.
 
-    ``root/manifest-<batch>.parquet`` are the committed manifests, ``root/out/batch=<batch>`` the outputs. Only outputs whose
-    manifest exists count as written.
+    ``root/commits/<number>`` are the commits, ``root/manifest`` the parts that they name, ``root/out/batch=<batch>`` the outputs. Only
+    what a commit names counts as written.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "file_id", identity: list[str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, key: str = "file_id", identity: list[str] | None = None, order: list[str] | None = None, fanout: int = 8):
         self.spark, self.root, self.key, self.identity = spark, root.rstrip("/"), key, identity or IDENTITY
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.order, self.fanout = order or [], fanout
+        self._log = CommitLog(spark, f"{self.root}/commits")
 
-    def batches(self) -> list[str]:
-        """Ids of the committed batches, oldest first: one manifest stands for each."""
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(n[9:-8] for n in names if n.startswith("manifest-") and n.endswith(".parquet"))
+    def commits(self) -> list[dict]:
+        """The commits, oldest first: number, batch and parts of the manifest."""
+        return self._log.entries()
+
+    def _commit(self, number: int, batch: str, parts: list[str]) -> None:
+        self._log.append(number, {"number": number, "batch": batch, "parts": parts})
 
     def manifest(self, like: DataFrame) -> DataFrame:
-        """The newest manifest, or none of ``like``'s rows."""
-        if done := self.batches():
-            return self.spark.read.parquet(f"{self.root}/manifest-{done[-1]}.parquet")
-        return like.select(self.key, *self.identity).withColumn("batch", F.lit("")).limit(0)
+        """(key, identity, batch_no) of each file's last batch, or none of ``like``'s rows."""
+        done = self.commits()
+        if not done:
+            return like.select(self.key, *self.identity).withColumn("batch_no", F.lit(0).cast("long")).limit(0)
+        return self._newest(done[-1]["parts"])
+
+    def _newest(self, parts: list[str]) -> DataFrame:
+        return latest(self.spark.read.parquet(*[f"{self.root}/manifest/{p}" for p in parts]), self.key, ["batch_no"], [*self.identity, "batch_no"])
+
+    def _add(self, rows: DataFrame, number: int, batch: str, parts: list[str]) -> None:
+        rows.select(self.key, *self.identity).withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.root}/manifest/{batch}")
+        parts = [*parts, batch]
+        if len(parts) > self.fanout:
+            merged = f"merged-{batch}"
+            self._newest(parts).write.mode("overwrite").parquet(f"{self.root}/manifest/{merged}")
+            parts = [merged]
+        self._commit(number, batch, parts)
+
+    def adopt(self, manifest: DataFrame) -> None:
+        """Commits what another system has processed (key, identity) as the first batch."""
+        if self.commits():
+            raise RuntimeError("only an empty folder can adopt a manifest")
+        self._add(manifest, 1, "000000000001-adopted", [])
 
     def run(self, listed: DataFrame, process: Callable[[DataFrame], DataFrame], fail_after: str = "") -> str | None:
-        """One batch: returns its id, or None if nothing is due. ``fail_after`` ("write") breaks off there, for tests."""
-        once = listed.select(self.key, *self.identity).dropDuplicates([self.key])
-        before, number = self.manifest(once), len(self.batches()) + 1
-        due = materialize(pending(once, before, self.key, self.identity), "due")
+        """One batch: returns its id, or None if nothing is due. ``fail_after`` ("write", "manifest") breaks off there, for tests."""
+        once = listed.filter(F.col(self.key).isNotNull())
+        once = latest(once, self.key, [*self.order, *self.identity], self.identity)
+        done = self.commits()
+        number = len(done) + 1
+        due = materialize(pending(once, self.manifest(once), self.key, self.identity), "due")
         stamp = due.select(F.count("*").alias("n"), F.bit_xor(F.xxhash64(self.key, *self.identity)).alias("x")).first()
         if not stamp["n"]:
             return None
-        batch = f"{number:06d}-{stamp['n']}-{(stamp['x'] or 0) & (2**64 - 1):016x}"
+        batch = f"{number:012d}-{stamp['n']}-{(stamp['x'] or 0) & (2**64 - 1):016x}"
         process(due).write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
         if fail_after == "write":
             raise RuntimeError("stopped after the write")
-        merged = before.join(due.select(self.key), self.key, "left_anti").unionByName(due.withColumn("batch", F.lit(batch)))
-        part = f"{self.root}/.part-{batch}"
-        merged.write.mode("overwrite").parquet(part)
-        if len(self.batches()) + 1 != number or not self._fs.rename(self._path(part), self._path(f"{self.root}/manifest-{batch}.parquet")):
-            raise RuntimeError("another run committed first")
+        if fail_after == "manifest":
+            self._commit = lambda *_: (_ for _ in ()).throw(RuntimeError("stopped before the commit"))
+        self._add(due, number, batch, done[-1]["parts"] if done else [])
         return batch
 
-    def output(self) -> DataFrame | None:
-        """All committed output rows; what an unfinished run wrote is not among them."""
-        done = self.batches()
-        return self.spark.read.parquet(*[f"{self.root}/out/batch={b}" for b in done]) if done else None
+    def output(self, batch: str | None = None) -> DataFrame | None:
+        """The rows of one committed batch or of all, with their batch_no; what an unfinished run wrote is not among them."""
+        done = [c for c in self.commits() if not c["batch"].endswith("-adopted") and batch in (None, c["batch"])]
+        if not done:
+            return None
+        each = [self.spark.read.parquet(f"{self.root}/out/batch={c['batch']}").withColumn("batch_no", F.lit(c["number"])) for c in done]
+        return reduce(lambda a, b: a.unionByName(b), each)

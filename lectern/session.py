@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is made, kept for the life of the process.
+    Only where the setting is absent and all executors are this machine, a temporary folder is made, kept for the life of the process.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="lectern-")
@@ -25,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder; a session that has ended is no error."""
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -34,15 +37,35 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Scratch folders by the thing that needs them.
+_kept: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new scratch folder in the shared folder, removed when the process ends or by ``release``."""
+    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    _kept.append(path)
+    if len(_kept) == 1:
+        atexit.register(release, spark)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all scratch folders made so far, for long sessions: results that still read them must have been written."""
+    paths, _kept[:] = list(_kept), []
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +81,16 @@ def input_bytes(df: DataFrame) -> int | None:
     return sum(sizes) if max(sizes, default=0) < 2**60 else None
 
 
-def hash_ranges(df: DataFrame, mb: int) -> int:
-    """Number of hash ranges of about ``mb`` megabytes each that hold as many bytes as ``df`` reads; at least the session's shuffle width."""
-    size = input_bytes(df)
-    return max(shuffle_width(df.sparkSession), -(-(size or 0) // (mb << 20)))
+def hash_ranges(df: DataFrame, mb: int = 8) -> int:
+    """Number of hash ranges that hold as many bytes as ``df`` reads: about ``mb`` megabytes each up to 10 000 ranges, then larger ones up
+    to 8 times that; at least the session's shuffle width."""
+    size = input_bytes(df) or 0
+    return max(shuffle_width(df.sparkSession), min(-(-size // (mb << 20)), max(10_000, -(-size // (mb << 23)))))
+
+
+def range_partitions(spark: SparkSession, ranges: int) -> int:
+    """Partitions for a shuffle by range: one for each, as far as a shuffle bears; a task takes several ranges one after the other."""
+    return min(ranges, max(20_000, shuffle_width(spark)))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -49,20 +49,48 @@ def test_listing_leaves_out_folders_links_and_deleted(spark):
 
 
 def test_runs_neither_skip_nor_repeat(spark, tmp_path):
-    run = IncrementalRun(spark, f"file://{tmp_path}/inc")
-    one = spark.createDataFrame([(1, 1, 1, 1, 1), (2, 1, 1, 1, 1), (2, 1, 1, 1, 1)], IDENT)
+    run = IncrementalRun(spark, f"file://{tmp_path}/inc", fanout=2)
+    one = spark.createDataFrame([(1, 1, 1, 1, 1), (2, 1, 1, 1, 1), (2, 1, 1, 1, 1), (None, 1, 1, 1, 1)], IDENT)
     double = lambda d: d.select("file_id", (F.col("size") * 2).alias("v"))
     assert run.run(one.limit(0), double) is None and run.output() is None
-    with pytest.raises(RuntimeError):
-        run.run(one, double, fail_after="write")
-    assert run.output() is None
+    for crash in ("write", "manifest"):
+        with pytest.raises(RuntimeError):
+            IncrementalRun(spark, run.root).run(one, double, fail_after=crash)
+        assert run.output() is None
     first = run.run(one, double)
     assert first and run.run(one, double) is None
     assert sorted(r.file_id for r in run.output().collect()) == [1, 2]
     two = spark.createDataFrame([(1, 1, 1, 1, 1), (2, 7, 1, 1, 1), (3, 1, 1, 1, 1)], IDENT)
     assert run.run(two, double) != first
     assert sorted(tuple(r)[:2] for r in run.output().select("file_id", "v").collect()) == [(1, 2), (2, 2), (2, 14), (3, 2)]
-    assert run.run(two, double) is None and len(run.batches()) == 2
+    for i in range(3):
+        run.run(spark.createDataFrame([(9, i, 1, 1, 1)], IDENT), double)
+    assert len(run.commits()) == 5 and len(run.commits()[-1]["parts"]) <= 2
+    assert run.run(two, double) is None and {r.file_id: r.batch_no for r in run.manifest(two).collect()} == {1: 1, 2: 2, 3: 2, 9: 5}
+
+
+def test_of_two_runs_with_one_number_the_second_fails(spark, tmp_path):
+    one, other = (IncrementalRun(spark, f"file://{tmp_path}/inc") for _ in range(2))
+    a, b = (spark.createDataFrame([(i, 1, 1, 1, 1)], IDENT) for i in (1, 2))
+    late = other._commit
+    other._commit = lambda *args: (one.run(b, lambda d: d.select("file_id")), late(*args))  # while the first is about to commit
+    with pytest.raises(RuntimeError):
+        other.run(a, lambda d: d.select("file_id"))
+    assert [r.file_id for r in one.output().collect()] == [2] and one.run(a, lambda d: d.select("file_id"))
+    assert sorted(r.file_id for r in one.output().collect()) == [1, 2]
+
+
+def test_listing_takes_the_greatest_row_of_a_key_and_checksums(spark, tmp_path):
+    cols = "file_id long, seen long, size long, sum string"
+    run = IncrementalRun(spark, f"file://{tmp_path}/inc", identity=["size", "sum"], order=["seen"])
+    listed = spark.createDataFrame([(1, 1, 9, "a"), (1, 2, 5, "b"), (2, 1, 5, "c")], cols)
+    same = lambda d: d.select("file_id", "sum")
+    run.run(listed, same)
+    assert {tuple(r)[:2] for r in run.output().collect()} == {(1, "b"), (2, "c")}
+    run.run(spark.createDataFrame([(1, 3, 5, "b"), (2, 1, 5, "changed")], cols), same)
+    assert {tuple(r)[:2] for r in run.output().collect()} == {(1, "b"), (2, "c"), (2, "changed")}
+    with pytest.raises(RuntimeError):
+        run.adopt(listed.select("file_id", "size", "sum"))
 
 
 def test_bm25_equals_sqlite(spark):
