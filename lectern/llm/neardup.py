@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.shingles import mix, shingle_sets
-from lectern.session import hash_ranges, materialize
+from lectern.session import hash_ranges, materialize, range_partitions
 
 #: The most shingles that can count as hot: a hot shingle has at least one in this many of all occurrences.
 HOT_MOST = 1_000_000
@@ -230,14 +230,15 @@ class NearDuplicates:
     the possible pairs for each posting that are enumerated without a star first. None of them changes the groups.
     """
 
-    def __init__(self, records: DataFrame, threshold: float = 0.8, most_matches: int = 8, verify_cost: float = 4.0, range_mb: int = 32, hot_least: int = 10_000, patience: float = 16.0):
+    def __init__(self, records: DataFrame, threshold: float = 0.8, most_matches: int = 8, verify_cost: float = 4.0, range_mb: int = 8, hot_least: int = 10_000, patience: float = 16.0):
         own = records.select(F.col(records.columns[0]).cast("long").alias("id"), F.col(records.columns[1]).alias("text")).filter("id is not null and text is not null")
         self.threshold, self.patience = threshold, patience
         parts = hash_ranges(records, range_mb)
+        width = range_partitions(records.sparkSession, parts)
         self.records = materialize(own, "records")
         hot = records.sparkSession.sparkContext.broadcast(_hot(self.records.select("text"), hot_least))  # at most HOT_MOST entries of 12 bytes
-        packed = self.records.mapInArrow(_pack(parts, hot), _BACK).repartition(parts, "part")
-        repeated = packed.groupBy("part").applyInArrow(_repeated(parts), _BACK).repartition(parts, "part")
+        packed = self.records.mapInArrow(_pack(parts, hot), _BACK).repartition(width, "part")
+        repeated = packed.groupBy("part").applyInArrow(_repeated(parts), _BACK).repartition(width, "part")
         self.prefixes = materialize(repeated.groupBy("part").applyInArrow(_prefixes(threshold, most_matches, verify_cost), _PREFIX), "prefixes")
         copies = self.prefixes.filter("full")
         rep = copies.groupBy("digest").agg(F.min("id").alias("rep"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.corpus import table, texts
@@ -13,9 +15,9 @@ from lectern.llm.markup import analyse_markup, model
 from lectern.llm.mixing import Mix
 from lectern.llm.mojibake import Garbled
 from lectern.llm.neardup import NearDuplicates, pairs_within
-from lectern.llm.spans import shared_spans
+from lectern.llm.spans import FingerprintIndex, shared_spans
 from lectern.llm.splitting import split_oversized
-from lectern.session import spread
+from lectern.session import materialize, spread
 
 
 def _file_texts(spark: SparkSession, sf: str, *attrs: str) -> DataFrame:
@@ -34,7 +36,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Each file that shares a shingle prefix with others, with its group and number of links."""
+    """Each file with a text, with its group and number of verified links; a file without links is its own group."""
     return _near(spark, sf).withColumnRenamed("id", "file_id")
 
 
@@ -99,22 +101,51 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report()
 
 
+def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """For each source with a target, whether the mix keeps its promises: no document over its cap, uses numbered without a gap, and the
+    share reached but for half a block and one document."""
+    mix = _mix(spark, sf)
+    uses = materialize(mix.rows(), "mix")
+    doc = uses.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("use_no").alias("u"), F.max("use_no").alias("most"), F.max("n_tokens").alias("t"))
+    per = doc.groupBy("source").agg(F.max("n").alias("uses"), F.min((F.col("n") == F.col("u")) & (F.col("n") == F.col("most"))).alias("numbered"), F.sum(F.col("n") * F.col("t")).alias("tokens"), F.max("t").alias("longest"))
+    total = F.sum("tokens").over(W.partitionBy(F.lit(1)))  # over the settings' rows
+    off = F.abs(F.col("tokens") - F.col("target_share") * total) <= F.col("longest") + F.lit(mix.block)
+    want = spark.createDataFrame([(s, x, mix.repeats[s]) for s, x in mix.shares.items()], "source string, target_share double, max_repeats int")
+    out = want.join(per, "source", "left").withColumn("share_kept", off)
+    no = F.lit(False)
+    return out.select("source", F.coalesce(F.col("uses") <= F.col("max_repeats"), no).alias("cap_kept"), F.coalesce("numbered", no).alias("numbered"), F.coalesce("share_kept", no).alias("share_kept"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of at least 200 characters that other documents have too."""
     return shared_spans(spread(table(spark, sf, "documents").select("doc_id", "text"))).withColumnRenamed("doc", "doc_id")
 
 
+def p8_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that come in five batches: for each the spans that it shares with documents of its batch and of those before."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    index = FingerprintIndex(spark, fanout=3)
+    out = []
+    for i in range(5):
+        index.add(docs.filter(F.pmod("doc_id", F.lit(5)) == i))
+        out.append(materialize(index.new_spans(docs), "new_spans").withColumn("batch_no", F.lit(i)))
+    return reduce(lambda a, b: a.union(b), out).withColumnRenamed("doc", "doc_id")
+
+
 def p8_amount(spark: SparkSession, sf: str) -> DataFrame:
-    """For each document with shared spans their number and characters, and their part of the text."""
-    docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"))
+    """For each document with an id the number and characters of its shared spans, and their part of the text; 0 where nothing is shared.
+    Rows that repeat an id are one document, as long as its longest row."""
+    docs = table(spark, sf, "documents").filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
     spans = p8_found(spark, sf).groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
-    return spans.join(docs, "doc_id").withColumn("part", F.col("shared_chars") / F.col("chars"))
+    zero = F.lit(0).cast("long")
+    out = docs.join(spans, "doc_id", "left").withColumns({"spans": F.coalesce("spans", zero), "shared_chars": F.coalesce("shared_chars", zero)})
+    return out.withColumn("part", F.coalesce(F.try_divide(F.col("shared_chars"), F.col("chars")), F.lit(0.0)))
 
 
 def queries() -> dict[str, Callable]:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares,
-        "p8_found": p8_found, "p8_amount": p8_amount,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_kept": p7_kept,
+        "p8_found": p8_found, "p8_batches": p8_batches, "p8_amount": p8_amount,
     }
 
 
@@ -125,6 +156,13 @@ m AS (SELECT DISTINCT doc_id, i FROM w JOIN s USING (h)),
 g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS first FROM m),
 n AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g)
 SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM n GROUP BY doc_id, k"""
+_BATCHES_SQL = """WITH d AS (SELECT doc_id, doc_id % 5 AS b, text FROM documents WHERE text IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, b, i, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, b, text, unnest(range(length(text) - 199)) AS i FROM d)),
+f AS (SELECT h, arg_min(doc_id, (b, doc_id)) AS doc, min(b) AS b1 FROM w GROUP BY h), s AS (SELECT w.h, min(w.b) AS b2 FROM w JOIN f USING (h) WHERE w.doc_id <> f.doc GROUP BY 1),
+m AS (SELECT DISTINCT w.doc_id, w.b, i FROM w JOIN f USING (h) JOIN s USING (h) WHERE CASE WHEN w.doc_id = f.doc THEN b2 ELSE b1 END <= w.b),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS first FROM m),
+n AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g)
+SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end, CAST(any_value(b) AS INTEGER) AS batch_no FROM n GROUP BY doc_id, k"""
 _GROUPS_SQL = """WITH RECURSIVE t AS (SELECT DISTINCT f.id AS file_id, lower(f.name || chr(10) || x.content) AS s FROM file_text x JOIN files f ON f.id = x.file_id WHERE x.content IS NOT NULL AND trim(x.content) <> ''),
 k AS (SELECT file_id, regexp_extract_all(regexp_replace(s, '([\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}])', ' \\1 ', 'g'), '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]|[\\p{L}\\p{N}]+') AS a FROM t),
 g AS (SELECT DISTINCT file_id, array_to_string(a[i:i + 4], ' ') AS s FROM (SELECT file_id, a, unnest(range(1, len(a) - 3)) AS i FROM k WHERE len(a) >= 5)),
@@ -140,8 +178,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _GROUPS_SQL,
         "p8_found": _SPANS_SQL,
-        "p8_amount": f"""SELECT doc_id, count(*) AS spans, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars, any_value(chars) AS chars,
-  sum(span_end - span_start) / any_value(chars) AS part FROM ({_SPANS_SQL}) JOIN (SELECT doc_id, length(text) AS chars FROM documents) USING (doc_id) GROUP BY 1""",
+        "p8_batches": _BATCHES_SQL,
+        "p8_amount": f"""SELECT doc_id, coalesce(spans, 0) AS spans, coalesce(shared_chars, 0) AS shared_chars, chars, coalesce(shared_chars / nullif(chars, 0), 0.0) AS part
+  FROM (SELECT doc_id, max(coalesce(length(text), 0)) AS chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)
+  LEFT JOIN (SELECT doc_id, count(*) AS spans, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars FROM ({_SPANS_SQL}) GROUP BY 1) USING (doc_id)""",
+        "p7_kept": "SELECT DISTINCT source, true AS cap_kept, true AS numbered, true AS share_kept FROM mix_targets WHERE source IS NOT NULL AND target_share > 0",
         "p2_found": """SELECT DISTINCT t.file_id FROM file_text t JOIN (SELECT DISTINCT id, kind FROM files) f ON f.id = t.file_id
 JOIN split_limits l USING (kind) WHERE length(t.content) > l.max_chars""",
     }

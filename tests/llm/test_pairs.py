@@ -171,12 +171,24 @@ def test_spans_equal_brute_force(spark, seed, batches):
     docs = [(i, "".join(r.choice(parts) if r.random() < 0.5 else letter(r.randint(1, 40)) for _ in range(r.randint(0, 8)))) for i in range(40)]
     docs.append((99, docs[0][1]))
     df = spark.createDataFrame(docs, "id long, text string")
-    index = FingerprintIndex(window=30, gram=12, fanout=3)
+    index = FingerprintIndex(spark, window=30, gram=12, fanout=3)
     from pyspark.sql import functions as F
 
     for b in range(batches):
+        index = FingerprintIndex(spark, index.root, window=30, gram=12, fanout=3)  # a later session
         index.add(df.filter(F.col("id") % batches == b))
+        known = [d for d in docs if d[0] % batches <= b]
+        want = {x for x in brute_spans(known, 30) if x[0] % batches == b}
+        assert {tuple(x) for x in index.new_spans(df).collect()} == want
     assert {tuple(x) for x in index.spans(df).collect()} == brute_spans(docs, 30)
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, index.root, window=31, gram=12)
+
+
+def test_spans_of_repetitive_text(spark):
+    docs = [(i, "x" * i + "=" * (500 + 7 * i) + "y") for i in range(6)] + [(10 + i, ("ab" * 300)[i:]) for i in range(5)] + [(20, "q" * 400)]
+    df = spark.createDataFrame(docs, "id long, text string")
+    assert {tuple(x) for x in shared_spans(df, 30, 12).collect()} == brute_spans(docs, 30)
 
 
 def test_spans_of_nothing_and_repeats(spark):

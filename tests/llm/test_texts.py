@@ -173,6 +173,20 @@ def test_apportionment_is_sainte_lague():
     assert apportion({"a": 0.53, "b": 0.24, "c": 0.23}, 7, {"a": 9, "b": 9, "c": 9}) == {"a": 3, "b": 2, "c": 2}
     assert apportion({"a": 0.5, "b": 0.5}, 10, {"a": 2, "b": 99}) == {"a": 2, "b": 8}
     assert apportion({}, 3, {}) == {}
+    shares = {"a": 0.0333, "b": 0.0333, "c": 0.0333, "d": 0.9001}
+    for seats in (4000, 8 * 500, 123_457):
+        got = apportion(shares, seats, dict.fromkeys(shares, 10**9))
+        assert sum(got.values()) == seats and all(abs(got[n] - s * seats) <= 0.5 for n, s in shares.items())
+    r = random.Random(6)
+    for _ in range(60):  # seat by seat
+        shares = {str(i): r.choice([0.5, 0.25, r.random(), 0.0]) for i in range(r.randint(1, 6))}
+        left = {n: r.randint(0, 30) for n in shares}
+        seats, want = r.randint(0, 60), dict.fromkeys(shares, 0)
+        for _ in range(seats):
+            free = [n for n in shares if want[n] < left[n] and shares[n]]
+            if free:
+                want[min(free, key=lambda n: (-shares[n] / (2 * want[n] + 1), n))] += 1
+        assert apportion(shares, seats, left) == want
 
 
 def test_mix(spark):
@@ -192,6 +206,8 @@ def test_mix(spark):
     assert all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= (3 if k in small else 1) for k, v in by.items())
     assert not {9000, 9001, 9002, 9003} & set(by) and {u.shard for u in uses} == {0, 1, 2, 3}
     report = {x.source: x for x in mix.report().collect()}
+    for bucket_docs in (7, 100):
+        assert {tuple(u) for u in Mix(docs, targets, shards=4, blocks=50, bucket_docs=bucket_docs).rows().collect()} == {tuple(u) for u in uses}
     assert abs(report["big"].reached_share - 0.5) < 0.01 and abs(report["small"].reached_share - 0.5) < 0.01
     more = Mix(docs, targets, total_tokens=10 * mix.total)
     late = {x.source: x for x in more.report().collect()}
