@@ -148,10 +148,11 @@ def _windows(window: int):
 def _join_back(rows: DataFrame, kinds: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined to ``kinds`` (one row for each key, with its number ``k`` of rows). Keys with very many rows are joined by broadcast,
     so that no task gets all rows of one."""
-    total = kinds.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    hot = kinds.filter(F.col("k") >= max(10_000, total // HOT_MOST))  # at most HOT_MOST rows
-    if not hot.limit(1).count():
+    total, most = kinds.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    least = max(10_000, total // HOT_MOST)
+    if most < least:
         return rows.join(kinds.drop("k"), on, how)
+    hot = kinds.filter(F.col("k") >= least)  # at most HOT_MOST rows
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
     return rows.join(F.broadcast(hot.drop("k")), on, how).unionByName(rest.join(kinds.drop("k"), on, how))
 
@@ -257,8 +258,8 @@ class FingerprintIndex:
         hits = materialize(places.join(met, "anchor", "left_semi"), "hits")
         kinds = hits.groupBy("anchor", "seg").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "start")).alias("rep"), F.count("*").alias("k"))
         kinds = materialize(kinds, "kinds")
-        mixed = kinds.groupBy("anchor").agg(F.count("*").alias("s"), F.sum("k").alias("k"))
-        kinds = materialize(_join_back(kinds, materialize(mixed.select("anchor", (F.col("s") > 1).alias("mixed"), F.col("s").alias("k")), "mixed"), ["anchor"]), "kinds")
+        mixed = kinds.groupBy("anchor").agg(F.count("*").alias("s"))
+        kinds = _join_back(kinds, mixed.select("anchor", (F.col("s") > 1).alias("mixed"), F.col("s").alias("k")), ["anchor"])
         at = materialize(_join_back(hits, kinds, ["anchor", "seg"]), "segments")
         whole = at.filter("lo < hi").select("doc", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + win).alias("e"))
         # windows to compare: every place of a segment that only one record has, one place of any other
