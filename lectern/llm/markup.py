@@ -50,6 +50,7 @@ _VOID = frozenset("area base br col embed frame hr img input link meta param sou
 # What can be markup. Alternatives are tried in this order at each place; each is linear in the length of what it reads.
 _MARK = re.compile(
     r"""
+    ^(?=[ \t]*[`~=\-|{*+0-9\#>!\[])(?:
     (?P<fence>^\ {0,3}(?:`{3,}[^`\n]*|~{3,}[^\n]*)$)
   | (?P<under>^(?:={2,}|-{2,})[ \t]*$)
   | (?P<rule>^[ \t]*\|?[ \t]*:?-+:?[ \t]*\|[-:| \t]*$)
@@ -60,7 +61,9 @@ _MARK = re.compile(
   | (?P<whead>^={1,6}(?=[^=\n]))
   | (?P<bang>^!(?=[ \t]))
   | (?P<refdef>^\ {0,3}\[[^\]\n]+\]:[ \t]+\S+)
-  | (?P<comment><!--(?:[^-]|-(?!->))*-->|<!--)
+  )
+  | (?=[<&$\\`!\[{}*_~'=\#|])(?:
+    (?P<comment><!--(?:[^-]|-(?!->))*-->|<!--)
   | (?P<decl><![A-Za-z][^<>]*>)
   | (?P<auto><[a-z]{2,9}:[^<>\s]+>|<[^<>\s@]+@[^<>\s@]+>)
   | (?P<tag></?[A-Za-z][A-Za-z0-9:_-]*(?:[\s/][^<>]*)?>)
@@ -77,9 +80,10 @@ _MARK = re.compile(
   | (?P<topen>\{\{)
   | (?P<tclose>\}\})
   | (?P<run>\*+|_+|~~+|'{2,5})
-  | (?P<wclose>[ \t]*={1,6}[ \t]*$)
-  | (?P<hashes>[ \t]+\#+[ \t]*$)
+  | (?P<wclose>={1,6}[ \t]*$)
+  | (?P<hashes>(?<=[ \t])\#+[ \t]*$)
   | (?P<pipe>\|\|?|!!)
+  )
     """,
     re.M | re.X,
 )
