@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,12 @@ def tree(files: DataFrame, favorites: DataFrame, kb_id: int, parent: str, sort:
     return rows.orderBy(F.desc(folder), key, "file_id").limit(max(1, min(5000, limit))).select("file_id", "name", folder.alias("is_dir"), "kind", "icon", "favorite", "size")
 
 
+def children(files: DataFrame, kb_id: int, parent: str, limit: int = 500) -> DataFrame:
+    """One row: how many entries a folder has, and whether a page of ``limit`` leaves some out."""
+    rows = files.filter((F.col("kb_id") == kb_id) & (F.col("parent_rel") == parent) & ~F.coalesce("is_deleted", F.lit(False)))
+    return rows.agg(F.count("*").alias("total")).withColumn("has_more", F.col("total") > limit)
+
+
 def breadcrumbs(files: DataFrame) -> DataFrame:
     """(file_id, level, rel_path, name) for each folder above each live file: the prefixes of its path, joined to the catalogue."""
     rows = files.filter(live() & (F.coalesce("parent_rel", F.lit("")) != "")).select("file_id", "kb_id", F.split("parent_rel", "/").alias("parts"))
@@ -120,6 +128,36 @@ def owners_all(own: DataFrame, kbs: DataFrame) -> DataFrame:
     return each.join(kbs.select(F.rtrim(F.col("root_path"), F.lit("/")).alias("root"), F.col("id").alias("outer_id")), "root")
 
 
+#: Fields of a knowledge base that may be changed.
+EDITABLE = ["name", "description", "icon_type", "icon_value", "accent", "cover", "background", "enabled"]
+
+
+def kb_checks(wanted: DataFrame, kbs: DataFrame, allowed: list[str]) -> DataFrame:
+    """(id, problem) of each knowledge base to be made (id, name, root_path): null if it may be. A name has 1 to 120 characters, the root lies
+    below an allowed folder, and no root lies in another. Its own row in ``kbs`` doesn't count."""
+    bare = lambda c: F.rtrim(F.col(c), F.lit("/"))
+    new = wanted.select("id", "name", bare("root_path").alias("root"))
+    inside = [(F.col("root") == a.rstrip("/")) | F.startswith("root", F.lit(a.rstrip("/") + "/")) for a in allowed]
+    old = kbs.select(F.col("id").alias("other"), bare("root_path").alias("old_root")).filter("old_root is not null")
+    above = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), F.lit(1), i), "/"))
+    up = new.select("id", F.explode(above("root")).alias("old_root")).join(old, "old_root").select("id", "other")
+    down = old.select("other", F.explode(above("old_root")).alias("root")).join(new, "root").select("id", "other")
+    meets = up.union(down).filter("id <> other").groupBy("id").agg(F.min("other").alias("other"))
+    name = F.length(F.trim(F.coalesce("name", F.lit(""))))
+    ok = reduce(lambda a, b: a | b, inside, F.lit(False))
+    problem = F.when((name < 1) | (name > 120), "name").when(~F.coalesce(ok, F.lit(False)), "root").when(F.col("other").isNotNull(), F.concat(F.lit("overlaps "), F.col("other").cast("string")))
+    return new.join(meets, "id", "left").select("id", problem.alias("problem"))
+
+
+def kb_update(kbs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Knowledge bases after changes (id, field, value as text, at): the latest of a field counts; other fields than ``EDITABLE`` are not
+    changed, and unknown ids are ignored."""
+    last = changes.filter(F.col("field").isin(EDITABLE)).groupBy("id", "field").agg(F.max(F.struct("at", "value")).alias("v"))
+    given = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "v.value"))).alias("m"))  # at most one entry for each editable field
+    out = kbs.join(given, "id", "left")
+    return out.withColumns({c: F.coalesce(F.try_element_at("m", F.lit(c)).cast(kbs.schema[c].dataType), F.col(c)) for c in EDITABLE if c in kbs.columns}).drop("m")
+
+
 def reasons(files: DataFrame) -> DataFrame:
     """Why a live file has no text."""
     note = F.when(F.col("text_state") == "ok", "").when(F.col("text_state") == "pending", "not indexed yet").when(F.col("text_state") == "empty", "no text inside").when(F.col("text_state") == "unsupported", F.coalesce("error", F.lit("format not supported"))).when(F.col("text_state") == "failed", F.coalesce("error", F.lit("extraction failed"))).otherwise("unknown")

@@ -30,16 +30,15 @@ def section_texts(texts: DataFrame, key: str = "file_id", text: str = "content")
 
 
 def locate_units(units: DataFrame, phrases: list[str], most: int = 20, key: str = "file_id") -> DataFrame:
-    """The first unit of each file among the first ``most`` units, over all files, that hold every phrase, whatever the case.
-    Phrases under three characters match nothing."""
+    """The first unit of each file that holds every phrase, whatever the case; the first ``most`` files have one. Each file's first unit is
+    taken before the cut, so that no file's units use up the place of others. Phrases under three characters match nothing."""
     if not phrases or any(len(p) < 3 for p in phrases):
         return units.select(key, "unit_no", "label").limit(0)
     hit = F.lit(True)
     for p in phrases:
         hit &= F.contains(F.lower("content"), F.lit(p.lower()))
-    first = units.filter(hit).select(key, "unit_no", "label").orderBy(key, "unit_no").limit(most)
     top = F.min(F.struct("unit_no", "label")).alias("u")
-    return first.groupBy(key).agg(top).select(key, "u.unit_no", "u.label")
+    return units.filter(hit).groupBy(key).agg(top).select(key, "u.unit_no", "u.label").orderBy(key).limit(most)
 
 
 def row_blocks(texts: DataFrame, size: int = 200, most: int = 20_000, key: str = "file_id", text: str = "content") -> DataFrame:

@@ -209,9 +209,15 @@ def search(files: DataFrame, texts: DataFrame, favorites: DataFrame, q: str, as_
     return page.join(body, "file_id", "left").withColumn("snippet", snippet(F.col("content"), F.col("rel_path"), query_terms(q))).drop("content")
 
 
-def suggest(files: DataFrame, q: str, limit: int = 30) -> DataFrame:
-    """Quick open: names or paths that contain the query; names that start with it first, then the shorter."""
+def suggest(files: DataFrame, q: str, limit: int = 30, recents: DataFrame | None = None) -> DataFrame:
+    """Quick open: names or paths that contain the query; names that start with it first, then the shorter. An empty query gives what was
+    opened last (``recents``: path, name, last_opened), with rank -1; paths that the catalogue doesn't have are kept."""
     q = q.strip()
+    if not q and recents is not None:
+        last = recents.filter("path is not null").groupBy("path").agg(F.max(F.struct("last_opened", "name")).alias("r"))
+        own = files.groupBy("path").agg(F.min(F.struct("file_id", "rel_path", "kind")).alias("f"))
+        rows = last.join(own, "path", "left").orderBy(F.desc("r.last_opened"), "path").limit(limit)
+        return rows.select("f.file_id", "r.name", F.coalesce("f.rel_path", F.lit("")).alias("rel_path"), F.coalesce("f.kind", F.lit("other")).alias("kind"), F.lit(-1).alias("rank"))
     rows = files.filter(Filters().column()).filter(like_contains(F.col("name"), q) | like_contains(F.col("rel_path"), q))
     low = q.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     first = F.when(F.startswith(ascii_lower(F.col("name")), F.lit(low)), 0).otherwise(1)

@@ -43,7 +43,7 @@ def _sql_case(values: dict[str, str], c: str) -> str:
 _KINDS_HERE = {
     ".csv": ("csv", "", "text/csv"), ".tsv": ("csv", "", "text/tab-separated-values"), ".docx": ("docx", "", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ".flac": ("audio", "", "application/octet-stream"),
     ".go": ("code", "go", "text/plain"), ".htm": ("html", "html", "text/html"), ".html": ("html", "html", "text/html"), ".jpg": ("image", "", "image/jpeg"), ".js": ("code", "javascript", "text/javascript"), ".json": ("json", "json", "application/json"),
-    ".jsonl": ("json", "", "application/json"), ".log": ("text", "log", "text/plain"), ".markdown": ("markdown", "markdown", "text/markdown"), ".md": ("markdown", "markdown", "text/markdown"), ".mkv": ("video", "", "video/x-matroska"), ".mp3": ("audio", "", "audio/mpeg"),
+    ".jsonl": ("json", "", "application/json"), ".log": ("text", "log", "text/plain"), ".markdown": ("markdown", "markdown", "text/markdown"), ".md": ("markdown", "markdown", "text/markdown"), ".mkv": ("video", "", "application/octet-stream"), ".mp3": ("audio", "", "audio/mpeg"),
     ".mp4": ("video", "", "video/mp4"), ".pdf": ("pdf", "", "application/pdf"), ".png": ("image", "", "image/png"), ".pptx": ("pptx", "", "application/vnd.openxmlformats-officedocument.presentationml.presentation"), ".py": ("code", "python", "text/x-python"),
     ".rst": ("text", "rst", "text/x-rst"), ".sh": ("code", "bash", "application/x-sh"), ".txt": ("text", "", "text/plain"), ".webp": ("image", "", "image/webp"), ".xlsx": ("xlsx", "", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
     ".xml": ("xml", "xml", "text/xml"), ".yaml": ("yaml", "yaml", "application/x-yaml"), ".yml": ("yaml", "yaml", "application/x-yaml"), ".bin": ("other", "", "application/octet-stream"), ".zip": ("other", "", "application/zip"),
@@ -126,8 +126,8 @@ SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY i) AS unit_no,
     "ft_units": f"""WITH l AS (SELECT file_id, {_LINES} AS a FROM {_T} WHERE kind = 'markdown'), e AS (SELECT file_id, a, len(a) AS n, unnest(a) AS line, unnest(range(len(a))) AS i FROM l),
 h AS (SELECT *, row_number() OVER w AS unit_no, coalesce(lead(i) OVER w, n) AS stop FROM e WHERE regexp_matches(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$') WINDOW w AS (PARTITION BY file_id ORDER BY i)),
 u AS (SELECT file_id, unit_no, regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2) AS label, lower(array_to_string(a[i + 1:stop], chr(10))) AS c FROM h),
-k AS (SELECT file_id, unit_no, label FROM u WHERE contains(c, 'backup') AND contains(c, 'the') ORDER BY file_id, unit_no LIMIT 20)
-SELECT file_id, min(unit_no) AS unit_no, arg_min(label, unit_no) AS label FROM k GROUP BY 1""",
+k AS (SELECT file_id, unit_no, label FROM u WHERE contains(c, 'backup') AND contains(c, 'the'))
+SELECT file_id, min(unit_no) AS unit_no, arg_min(label, unit_no) AS label FROM k GROUP BY 1 ORDER BY file_id LIMIT 20""",
     "csv_units": f"""WITH l AS (SELECT file_id, {_FULL} AS a FROM {_T} WHERE kind IN ('csv', 'xlsx')), e AS (SELECT file_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM l)
 SELECT file_id, i // 200 AS block, min(i) AS first_row, count(*) AS rows, arg_min(line, i) AS head FROM e WHERE i < 20000 GROUP BY 1, 2""",
     "csv_page": f"""WITH l AS (SELECT file_id, {_FULL}[2:4] AS a FROM {_T} WHERE kind = 'csv')

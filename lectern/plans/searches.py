@@ -78,7 +78,7 @@ def _related(spark: SparkSession, sf: str) -> DataFrame:
 def _df(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency and occurrences of every term."""
     rows = S.postings(_last_texts(spark, sf))
-    return rows.groupBy("term").agg(F.countDistinct("file_id").alias("df"), F.sum("tf").alias("n")).filter("df > 20")
+    return rows.groupBy("term").agg(F.countDistinct("file_id").alias("df"), F.sum("tf").alias("n"))
 
 
 def _highlight(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,6 +212,6 @@ r AS (SELECT f.file_id, f.name, f.rel_path, CASE WHEN f.parent_rel = o.parent_re
 SELECT * FROM r WHERE weight IS NOT NULL ORDER BY weight DESC, mtime_ns DESC, file_id LIMIT 12""",
     "ft_postings_df": f"""WITH {_TEXTS}, x AS (SELECT file_id, unnest(regexp_extract_all({_sql_fold('v')}, '[\\p{{L}}\\p{{N}}]+')) AS term
   FROM (SELECT file_id, unnest([name, path, content]) AS v FROM t))
-SELECT term, count(DISTINCT file_id) AS df, count(*) AS n FROM x GROUP BY 1 HAVING count(DISTINCT file_id) > 20""",
+SELECT term, count(DISTINCT file_id) AS df, count(*) AS n FROM x GROUP BY 1""",
     "ft_highlight": f"SELECT name, {_sql_mark('name', ['dra', 'a'])} AS marked FROM (SELECT DISTINCT name FROM files)",
 }

@@ -1,5 +1,5 @@
-"""A Python data source that walks a folder: one row for each directory, file and symlink, one partition for each entry below
-the root. Read with ``spark.read.format("lectern_walk").option("path", root)`` after ``register(spark)``.
+"""A Python data source that walks a folder: one row for each directory, file and symlink. The walk is cut into partitions at the folders
+``split_depth`` levels below the root, so that one deep folder isn't one task; the levels above are rows of a partition of their own. Read with ``spark.read.format("lectern_walk").option("path", root)`` after ``register(spark)``.
 
 Symlinks are rows but never followed; devices and pipes are left out; a folder that can't be read is a row with an error; excluded
 folder names are pruned; below ``max_depth`` nothing is read and the folder's row says so in ``truncated``.
@@ -11,17 +11,20 @@ import os
 import stat
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lectern.functions.scalars import EXCLUDED_DIRS
+from lectern.functions.scalars import EXCLUDED_DIRS, ext, kind, mime, parent
 
 SCHEMA = "rel_path string, name string, size long, mtime_ns long, ctime_ns long, inode long, is_dir boolean, is_symlink boolean, depth int, truncated boolean, error string"
 
 
 class _Part(InputPartition):
-    def __init__(self, name: str | None):
-        self.name = name
+    """Entries to walk, below the root; ``flat`` ones without what is below them."""
+
+    def __init__(self, names: list[str], flat: bool = False):
+        self.names, self.flat = names, flat
 
 
 class _Reader(DataSourceReader):
@@ -30,10 +33,27 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
         self.depth = int(options.get("maxdepth", 32))
         given = options.get("exclude")
+        self.split = max(1, int(options.get("splitdepth", 2)))
         self.exclude = set(given.split(",") if given is not None else EXCLUDED_DIRS)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(n) for n in sorted(os.listdir(self.root))] or [_Part(None)]
+        """The folders at ``split_depth``, found by listing the levels above them; a folder above is a row only."""
+        above, level = [], [""]
+        for _ in range(self.split):
+            below = []
+            for folder in level:
+                try:
+                    names = sorted(os.listdir(os.path.join(self.root, folder)))
+                except OSError:
+                    names = []
+                for n in names:
+                    rel = os.path.join(folder, n)
+                    full = os.path.join(self.root, rel)
+                    walk = os.path.isdir(full) and not os.path.islink(full) and n not in self.exclude
+                    (below if walk and rel.count("/") + 1 < self.depth else above).append(rel)
+            above += level[1:] if level == [""] else level
+            level = below
+        return [_Part([n for n in above if n], True), *(_Part([n]) for n in level)]
 
     def _row(self, path: str, st: os.stat_result, truncated: bool = False, error: str | None = None) -> tuple:
         rel = os.path.relpath(path, self.root)
@@ -41,9 +61,7 @@ class _Reader(DataSourceReader):
         return (rel, os.path.basename(path), st.st_size, st.st_mtime_ns, st.st_ctime_ns, st.st_ino, stat.S_ISDIR(st.st_mode), link, rel.count("/") + 1, truncated, error)
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if partition.name is None:
-            return
-        todo = [os.path.join(self.root, partition.name)]
+        todo = [os.path.join(self.root, n) for n in reversed(partition.names)]
         while todo:
             path = todo.pop()
             try:
@@ -56,12 +74,12 @@ class _Reader(DataSourceReader):
                 deep = os.path.relpath(path, self.root).count("/") + 1 >= self.depth
                 below, error = [], None
                 if not deep:
-                    try:
+                    try:  # a folder of the upper levels is listed too, for its error
                         below = sorted(os.listdir(path), reverse=True)
                     except OSError as e:
                         error = e.strerror
                 yield self._row(path, st, deep, error)
-                todo += [os.path.join(path, n) for n in below]
+                todo += [] if partition.flat else [os.path.join(path, n) for n in below]
             elif stat.S_ISREG(st.st_mode) or stat.S_ISLNK(st.st_mode):
                 yield self._row(path, st)
 
@@ -80,3 +98,23 @@ class FolderWalk(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FolderWalk)
+
+
+def entries(spark: SparkSession, root: str, max_depth: int = 32, most: int | None = 300_000, exclude: list[str] | None = None) -> DataFrame:
+    """The rows of a walk with what the catalogue adds: parent_rel, ext, kind, mime; folders have kind ``dir`` and size 0.
+
+    A knowledge base takes ``most`` entries at most, those of least depth and then of least path; ``capped`` tells whether there are
+    more. None takes all. Needs ``register(spark)``.
+    """
+    reader = spark.read.format("lectern_walk").option("path", root).option("maxDepth", max_depth)
+    rows = (reader.option("exclude", ",".join(exclude)) if exclude is not None else reader).load()
+    name, folder = F.col("name"), F.col("is_dir")
+    none = F.lit("")
+    rows = rows.withColumns({
+        "parent_rel": parent(F.col("rel_path")), "ext": F.when(folder, none).otherwise(ext(name)), "kind": F.when(folder, "dir").otherwise(kind(name)),
+        "mime": F.when(folder, "inode/directory").otherwise(mime(name)), "size": F.when(folder, F.lit(0).cast("long")).otherwise(F.col("size")),
+    })
+    if most is None:
+        return rows.withColumn("capped", F.lit(False))
+    more = rows.limit(most + 1).count() > most
+    return (rows.orderBy("depth", "rel_path").limit(most) if more else rows).withColumn("capped", F.lit(more))
