@@ -10,13 +10,19 @@ A garbled form may be more common than its original. Where the right encoding wr
 the table as *exact*: it counts only where the passage decodes back without a gap, and the passage is long enough or a word of the
 document decodes back to a word of the corpus under the same chain.
 
+Lost bytes have entries too. Where a decoder put U+FFFD for bytes that it couldn't read, the token is the mark with its neighbours
+(``n\ufffdv``), and the table holds what is left of each letter of the vocabulary in its neighbourhood (``aïv`` read as UTF-8); two marks
+in a row are what is left of a word of two-byte letters. Such an entry tells that text was lost, and where the word isn't known the mark
+stays.
+
 A passage of non-ASCII characters is restored when pairs that are entries for one chain cover most of it and it decodes back under that
 chain; a word when its entry decodes back to the frequent original. Lost bytes (U+FFFD) stay lost; the rest around them is
 restored. The encoding column is not read.
 
-Scale. The vocabulary is aggregated before it is shuffled. Two Bloom filters of fixed size (``filter_bits``; both are sums over all
-data, no samples) keep forms that no document has, and tokens that are no form, out of the joins; where a filter fills up, more
-rows are joined and the result is the same. Only documents with entries are read again for restoring.
+Scale. The vocabulary is aggregated before it is shuffled. Two Bloom filters (over all data, no samples; 16 bits for each entry, built
+block by block where the data lie) keep forms that no document has, and tokens that are no form, out of the joins. ``most_bits`` bounds what
+is sent to the executors; beyond 2^24 entries the filters let more rows through to the joins, which give the same result. Only
+documents with entries are read again for restoring.
 
 Null texts are no case; empty and blank texts neither; repeated rows of a file count once.
 """
@@ -34,13 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import materialize
+from lectern.session import materialize, spread
 
 _SINGLE = "cp1252 cp1252w latin-1 cp437 cp850 mac_roman cp1250 cp1251 koi8-r cp866".split()
 _MULTI = "gb18030 big5 euc-kr shift_jis euc-jp".split()
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
-#: Bytes that no decoder could read, several in a row: lost text.
-_LOST = re.compile("�{2}|[A-Za-z]�[a-z]")
+#: Bytes that no decoder could read: a mark between letters or at the end of a word, or several in a row.
+_LOST = re.compile("�{2}|(?<![^\\W\\d_])�(?=[a-z])|(?<=[^\\W\\d_])�(?![�])")
 #: A character inside a word that is no letter of its script: the garbled form of one letter, or of a letter and the next.
 _INSIDE = re.compile(rf"(?<=[a-z])([^\x00-\x7f\xad\u2019\u00b7\w])(?=[a-z])|(?<=[A-Za-z])([{_CJK}])(?=[a-z])")
 _BOXES = re.compile("[\u2500-\u257f]+")
@@ -52,7 +58,6 @@ _IS_CJK = re.compile(f"[{_CJK}]")
 _WORD = re.compile("[A-Za-z\u0080-῿‐-‧‰-⿿぀-﻿｡-\U0010ffff]+")
 _HIGH = re.compile("[^\x00-\x7f]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-WORD_MOST = 32
 
 
 @cache
@@ -119,12 +124,26 @@ def _tokens(text: str) -> set[str]:
             out.update(map("".join, zip(run[:-1], run[1:], strict=True)))
     if out or not text.isascii():
         for w in _WORD.findall(text):
-            if len(w) <= WORD_MOST and not w.isascii() and (len(w) < 4 or len(_IS_CJK.findall(w)) < 4):
+            if not w.isascii() and (len(w) < 4 or len(_IS_CJK.findall(w)) < 4):
                 out.add("w" + w)
         out.update("c" + (a or b) for a, b in _INSIDE.findall(text))
+        if "�" in text:
+            out.update("l" + x for x in _lost(text))
     return out
 
 
+def _letter(c: str) -> str:
+    """A neighbour: the letter itself, or a blank for the edge of a word."""
+    return c.lower() if c.isalpha() and not _IS_CJK.match(c) else " "
+
+
+def _lost(text: str) -> Iterator[str]:
+    """Marks of lost bytes with their neighbours."""
+    for m in _LOST.finditer(text):
+        s = m.start()
+        yield "��" if len(m[0]) > 1 else _letter(text[s - 1 : s]) + "�" + _letter(text[s + 1 : s + 2])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
@@ -144,35 +163,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """A Bloom filter of fixed size over all rows of a string column, built in parts and united on the driver."""
+    """A Bloom filter over all rows of a string column, in blocks of 2^16 bits: the blocks are built where their rows lie and united on
+    the driver, ``bits`` in all."""
 
-    PARTS = 4
+    BLOCK = 1 << 16
 
-    def __init__(self, rows: DataFrame, bits: int):
-        n = 1 << bits
+    def __init__(self, rows: DataFrame, most_bits: int):
+        count = rows.count()
+        n = 16
+        while 1 << n < min(16 * count, 1 << most_bits):
+            n += 1
+        blocks = (1 << n) // self.BLOCK
 
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(n, bool)
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in Filter.places(b.column(0).to_pylist(), n):
-                    own[at] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
+                h = Filter.hashes(b.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(blocks)).astype(np.int32)), pa.array((h >> np.uint64(16)).view(np.int64))], ["block", "h"])
+
+        def build(table: pa.Table) -> pa.Table:
+            own = np.zeros(Filter.BLOCK, bool)
+            for at in Filter.places(table.column("h").to_numpy().astype(np.uint64)):
+                own[at] = True
+            return pa.Table.from_arrays([table.column("block").slice(0, 1), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["block", "bits"])
 
-        all_bits = np.zeros(n // 8, np.uint8)
-        for r in rows.coalesce(self.PARTS).mapInArrow(part, "bits binary").toLocalIterator():
-            all_bits |= np.frombuffer(r[0], np.uint8)
-        self.n, self.shared = n, rows.sparkSession.sparkContext.broadcast(all_bits.tobytes())
+        all_bits = np.zeros((blocks, self.BLOCK // 8), np.uint8)
+        for r in rows.mapInArrow(route, "block int, h long").groupBy("block").applyInArrow(build, "block int, bits binary").toLocalIterator():
+            all_bits[r[0]] = np.frombuffer(r[1], np.uint8)
+        self.blocks, self.shared = blocks, rows.sparkSession.sparkContext.broadcast(all_bits.tobytes())  # at most 2^most_bits bits
+
+    @staticmethod
+    def hashes(tokens: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens), np.uint64, len(tokens))
 
     @staticmethod
-    def places(tokens: list[str], n: int) -> list[np.ndarray]:
-        h = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens), np.uint64, len(tokens))
-        return [((h >> np.uint64(s)) % np.uint64(n)).astype(np.int64) for s in (0, 21, 38)]
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        """Places inside a block, from the upper 48 bits of a hash."""
+        return [((h >> np.uint64(s)) % np.uint64(Filter.BLOCK)).astype(np.int64) for s in (0, 16, 32)]
 
     def keep(self, tokens: list[str]) -> np.ndarray:
         """Which of the tokens may be in the column."""
         bits = np.frombuffer(self.shared.value, np.uint8)
+        h = self.hashes(tokens)
+        first = (h % np.uint64(self.blocks)).astype(np.int64) * self.BLOCK
         ok = np.ones(len(tokens), bool)
-        for at in self.places(tokens, self.n):
+        for place in self.places(h >> np.uint64(16)):
+            at = first + place
             ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         return ok
 
@@ -187,14 +222,22 @@ def _forms_of(tok: str) -> Iterator[tuple[str, str, tuple[str, str, int]]]:
         word = tok[1:]
         if _IS_CJK.search(word) or not _LETTERS.search(word):
             return
+        if any(len(c.encode()) > 1 and c.isalpha() for c in word):
+            # what is left of a letter between its neighbours, and of two letters of two bytes each
+            for i, c in enumerate(word):
+                if c > "\x7f" and c.isalpha():
+                    yield "l" + _letter(word[i - 1 : i]) + "�" + _letter(word[i + 1 : i + 2]), word, ("cp1252" if c < "\u0250" else "cp1251", "utf-8", 1)
+                    if word[i + 1 : i + 2] > "\x7f":
+                        yield "l��", word, ("cp1251", "utf-8", 1)
         for chain in chains(False):
             form = garble(word + " ", chain)
-            if form and form.endswith(" ") and (form := form[:-1]) != word and not form.isascii() and len(form) <= WORD_MOST and _WORD.fullmatch(form):
+            if form and form.endswith(" ") and (form := form[:-1]) != word and not form.isascii() and _WORD.fullmatch(form):
                 if chain[1] == "utf-8" and "�" not in form:  # valid sequences: the word is the garbled form of this one
                     continue
                 if len(form) > 2 and len(word) > 2 and form.count("�") <= min(2, len(form) - 2) and _LETTERS.fullmatch(word.replace("\u2019", "")):
                     yield "w" + form, word, chain
     elif len(tok) == 2 and _IS_CJK.match(tok) and _IS_CJK.match(tok[1]):
+        yield "l��", tok, ("gb18030", "utf-8", 1)
         for chain in chains(True):
             right, wrong, _ = chain
             if wrong in _MULTI:  # two bytes meet in a character: both alignments
@@ -211,7 +254,7 @@ def _forms_of_char(c: str) -> Iterator[tuple[str, str, tuple[str, str, int]]]:
     letter that are one character but no letter, to be met inside words."""
     if c.isalpha() and not _IS_CJK.match(c):
         for chain in chains(False):
-            if chain[0] in _SINGLE and chain[1] in _SINGLE and (form := garble(c, chain)) and len(form) == 1 and _INSIDE.search("a" + form + "a"):
+            if chain[0] in _SINGLE and chain[1] in _SINGLE and (form := garble(c, chain)) and len(form) == 1 and form != "�" and _INSIDE.search("a" + form + "a"):
                 yield "c" + form, c, chain
         for right in ("cp1252", "cp1250"):
             for wrong in _MULTI:
@@ -242,6 +285,8 @@ def _chain(name: str) -> tuple[str, str, int]:
 
 def _exact(key: str, orig: str, chain: tuple[str, str, int]) -> bool:
     """Whether the bytes themselves can prove the form: a word that decodes back, or a pair of sequences of several bytes."""
+    if key[0] == "l":  # a mark is no letter, however often it stands
+        return True
     if key[0] == "w":
         return chain[0] == "utf-8" and restore(key[1:], chain) == orig
     # between two encodings of two bytes a character nearly every text is valid both ways, so that their bytes prove nothing
@@ -403,17 +448,19 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
             hits: dict = {}
+            gone = False  # a mark of lost bytes met the table
             for h in found:
                 sure = hits.setdefault(h["chain"], (set(), {}, set(), {}))
                 pairs, words = sure[:2] if h["sure"] else sure[2:]
-                if h["tok"][0] == "c":
+                if h["tok"][0] == "l":
+                    gone = True
+                elif h["tok"][0] == "c":
                     words[h["tok"]] = (h["odf"], h["orig"])
                 elif h["word"]:
                     words[h["tok"][1:]] = (h["odf"], h["orig"])
                 else:
                     pairs.add(h["tok"])
-            new, weight, words = repair(text, hits)
-            gone = _LOST.search(text) is not None
+            new, weight, words = repair(text, {c: v for c, v in hits.items() if any(v)})
             if weight or words or gone:
                 rows.append((i, new, weight, words, new.count("�")))
         cols = list(zip(*rows, strict=True)) or [()] * 5
@@ -424,24 +471,24 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Garbled:
     """Affected records of ``records`` (id long, text) with their restored text: ``restored()``."""
 
-    def __init__(self, records: DataFrame, filter_bits: int = 24):
+    def __init__(self, records: DataFrame, most_bits: int = 28):
         key, text = records.columns[:2]
         self.records = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
         distinct = self.records.select("text").filter("length(text) < octet_length(text)").distinct()  # copies count once
         vocabulary = distinct.mapInArrow(_count, "tok string, df long").groupBy("tok").agg(F.sum("df").alias("df"))
         self.vocabulary = materialize(vocabulary, "vocabulary")
-        has = Filter(self.vocabulary.select("tok"), filter_bits)
+        has = Filter(self.vocabulary.select("tok"), most_bits)
         source = self.vocabulary.select("tok", "df", (F.length("tok") == 1).alias("char"))
         kind = F.length("orig") > 1
         word = kind & F.col("tok").startswith("w") & (F.length("tok") > 2) & ~F.col("orig").rlike(f"[{_CJK}]")
-        forms = source.mapInArrow(_generate(has), "tok string, orig string, chain string, odf long, exact boolean")
+        forms = spread(source).mapInArrow(_generate(has), "tok string, orig string, chain string, odf long, exact boolean")
         forms = forms.groupBy("tok", "chain").agg(F.max(F.struct("odf", "orig", "exact")).alias("top")).select("tok", "chain", "top.orig", "top.odf", "top.exact", word.alias("word"))
         # an original that is itself a garbled form of a more frequent word is not clean
         enough = (F.col("odf") >= F.when(F.col("word"), 3).otherwise(2) * F.col("df")) & (~F.col("word") | (F.col("odf") >= 3))
         forms = materialize(forms.join(self.vocabulary, "tok").withColumn("sure", enough).filter("sure or exact"), "forms")
-        dirty = forms.filter("word").select(F.substring("tok", 2, 1000).alias("orig")).distinct()
+        dirty = forms.filter("word").select(F.expr("substring(tok, 2)").alias("orig")).distinct()
         self.table = materialize(forms.filter("word").join(dirty, "orig", "left_anti").select(forms.columns).union(forms.filter("not word")), "table")
-        self.bits = filter_bits
+        self.bits = most_bits
 
     def hits(self) -> DataFrame:
         """(id, tok, chain, orig, odf, word, sure): the entries of the table that a record has."""
@@ -451,6 +498,5 @@ class Garbled:
     def restored(self) -> DataFrame:
         """(id, restored, weight, words, lost): lost counts the characters that stay U+FFFD."""
         found = self.hits().groupBy("id").agg(F.collect_list(F.struct("tok", "chain", "orig", "odf", "word", "sure")).alias("found"))
-        some = self.records.join(found, "id", "left").filter(F.col("found").isNotNull() | F.col("text").contains("��"))
-        none = F.array().cast("array<struct<tok:string,chain:string,orig:string,odf:bigint,word:boolean,sure:boolean>>")
-        return some.select("id", "text", F.coalesce("found", none).alias("found")).mapInArrow(_restored, "id long, restored string, weight double, words int, lost int")
+        some = self.records.join(found, "id")
+        return some.select("id", "text", "found").mapInArrow(_restored, "id long, restored string, weight double, words int, lost int")

@@ -67,11 +67,11 @@ def test_garbled_files_are_found_and_restored(spark):
     fine = {1000: "vodra\n├── notes\n│   └── x.txt", 1001: "ﾌｧｲﾙ ﾊﾞｯｸｱｯﾌﾟ 27", 1002: "SEÇÃO 3: CORREÇÃO", 1003: "", 1004: "only ASCII", 1005: None}
     rows = [(i, t) for i, t in enumerate(clean + zh)] + list(bad.items()) + list(fine.items())
     df = spark.createDataFrame(rows, "file_id long, content string")
-    got = {x.id: x for x in mojibake.Garbled(df, filter_bits=20).restored().collect()}
+    got = {x.id: x for x in mojibake.Garbled(df, most_bits=20).restored().collect()}
     assert set(got) == set(bad)
     assert got[901].restored == got[904].restored == got[905].restored == " ".join(WORDS)
     assert got[902].restored == "plain words " + zh[0]
-    assert mojibake.Garbled(df.limit(0), filter_bits=16).restored().count() == 0
+    assert mojibake.Garbled(df.limit(0), most_bits=16).restored().count() == 0
 
 
 def test_markup_model_on_held_out_pages():
@@ -225,6 +225,6 @@ def test_garbled_text_that_is_common_is_found(spark):
     russian = [f"Если список пропал, {i}" for i in range(30)] + [f"{lost} {i}" for i in range(3)]
     rows = [(i, t) for i, t in enumerate(clean + copies + others + russian)]
     df = spark.createDataFrame(rows, "file_id long, content string")
-    got = {x.id: x.restored for x in mojibake.Garbled(df, filter_bits=20).restored().collect()}
+    got = {x.id: x.restored for x in mojibake.Garbled(df, most_bits=20).restored().collect()}
     assert set(got) & set(range(162)) == set(range(12, 132))
     assert got[12] == french and got[131] == f"{french} Numéro 59."
