@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.corpus import table, texts
+from lectern.functions import render
 from lectern.session import spread
 from lectern.sources import office, walker
 from lectern.sources.extract import extract_files
@@ -126,9 +127,9 @@ def _sheet(spark: SparkSession, sf: str) -> DataFrame:
     return made.mapInArrow(page, "file_id long, columns string, cells string, has_more boolean")
 
 
-def _walk(spark: SparkSession, sf: str) -> DataFrame:
-    """A folder tree with links, empty, deep and excluded folders, walked and joined to kinds, as the catalogue takes it."""
-    root = os.path.join(tempfile.mkdtemp(prefix="lectern-walk-"), "library")  # the walk reads folders that its executors see
+def _library() -> str:
+    """A folder tree with links, empty, deep and excluded folders; the walk reads folders that its executors see."""
+    root = os.path.join(tempfile.mkdtemp(prefix="lectern-walk-"), "library")
     atexit.register(shutil.rmtree, os.path.dirname(root), ignore_errors=True)
     for name, data in (("guide.md", "# A"), ("notes/readme.txt", "x"), ("notes/a b/ü.csv", "a,b"), ("sub/deep/er/nested.md", "y"), ("node_modules/x.js", "z"), ("empty.txt", "")):
         os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
@@ -136,8 +137,31 @@ def _walk(spark: SparkSession, sf: str) -> DataFrame:
             f.write(data)
     os.symlink("guide.md", os.path.join(root, "link.md"))
     os.makedirs(os.path.join(root, "hollow"))
+    return root
+
+
+def _walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree walked and joined to kinds, as the catalogue takes it."""
     walker.register(spark)
-    return walker.entries(spark, root, max_depth=3).select("rel_path", "parent_rel", "name", "ext", "kind", "size", "is_dir", "is_symlink", "depth", "truncated")
+    return walker.entries(spark, _library(), max_depth=3).select("rel_path", "parent_rel", "name", "ext", "kind", "size", "is_dir", "is_symlink", "depth", "truncated")
+
+
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    walker.register(spark)
+    return walker.list_folder(spark, _library(), limit=7).select("name", "is_dir", "kind", "size")
+
+
+def _rendered(spark: SparkSession, sf: str) -> DataFrame:
+    """Markdown files as HTML: headings and code blocks in it, and whether anything could run."""
+    rows = texts(table(spark, sf, "files"), table(spark, sf, "file_text"), ["kind"]).filter(F.col("kind") == "markdown")
+    out = render.rendered(rows)
+    count = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
+    return out.select("file_id", count("<h[1-6]>").alias("headings"), count("<pre").alias("codes"), F.col("html").rlike(r"(?i)<(script|iframe|img|svg)\b|href=\"(javascript|data):").alias("unsafe"))
+
+
+def _plain(spark: SparkSession, sf: str) -> DataFrame:
+    rows = texts(table(spark, sf, "files"), table(spark, sf, "file_text"), ["kind"]).filter(F.col("kind") == "text")
+    return rows.select("file_id", F.md5(render.plain_html(F.col("content"))).alias("digest"))
 
 
 _T = "(SELECT DISTINCT t.file_id, content, kind FROM file_text t JOIN (SELECT DISTINCT id, kind FROM files) f ON f.id = t.file_id WHERE content IS NOT NULL)"
@@ -154,7 +178,7 @@ def _sql(kind: str) -> str:
 
 _KINDS = ("docx", "pptx", "text", "xlsx", "pdf")
 _ROWS = "list_filter(string_split(regexp_replace(content, '[\\x00-\\x09\\x0b-\\x1f]', '', 'g'), chr(10)), lambda x: trim(x) <> '')"
-QUERIES = {f"x_{k}": _round(k) for k in _KINDS} | {"x_charset": _charsets, "html_text": _html, "xlsx_page": _sheet, "x_walk": _walk}
+QUERIES = {f"x_{k}": _round(k) for k in _KINDS} | {"x_charset": _charsets, "html_text": _html, "xlsx_page": _sheet, "x_walk": _walk, "x_list": _listed, "md_html": _rendered, "text_html": _plain}
 SQL = {f"x_{k}": _sql(k) for k in _KINDS} | {
     "x_charset": "SELECT * FROM (VALUES ('de', true), ('zh', true), ('ja', true), ('ru', true)) AS t(lang, kept)",
     "html_text": f"""WITH a AS (SELECT file_id, regexp_replace(regexp_replace(content, '&#?[A-Za-z0-9]+;', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS c FROM {_T} WHERE kind = 'html'),
@@ -162,6 +186,11 @@ b AS (SELECT file_id, regexp_replace(c, '(?is)<head\\b.*?</head>|<script\\b.*?</
 SELECT file_id, md5(regexp_replace(regexp_replace(c, '<[/!?]?[A-Za-z][^>]*>', '', 'g'), '[\\s\\x{{85}}\\p{{Z}}]+', '', 'g')) AS digest FROM b""",
     "xlsx_page": f"""WITH l AS (SELECT file_id, list_transform({_ROWS}, lambda x: list_transform(string_split(x, ' | '), lambda c: trim(c))) AS a FROM {_T} WHERE kind = 'xlsx')
 SELECT file_id, coalesce(array_to_string(a[1], '~'), '') AS columns, array_to_string(list_transform(a[5:7], lambda r: array_to_string(r, '~')), '/') AS cells, len(a) > 7 AS has_more FROM l""",
+    "x_list": "SELECT * FROM (VALUES ('hollow', true, 'dir', 0), ('node_modules', true, 'dir', 0), ('notes', true, 'dir', 0), ('sub', true, 'dir', 0), ('empty.txt', false, 'text', 0), ('guide.md', false, 'markdown', 3), ('link.md', false, 'markdown', 8)) AS t(name, is_dir, kind, size)",
+    "md_html": f"""WITH l AS (SELECT file_id, unnest(regexp_split_to_array(content, '\\r\\n|\\r|\\n')) AS x FROM {_T} WHERE kind = 'markdown'),
+n AS (SELECT file_id, count(*) FILTER (regexp_matches(x, '^#{{1,6}}\\s+\\S')) AS headings, count(*) FILTER (regexp_matches(x, '^\\s*(```+|~~~+)\\s*[\\w+-]*\\s*$')) AS fences FROM l GROUP BY 1)
+SELECT file_id, headings, (fences + 1) // 2 AS codes, false AS unsafe FROM n""",
+    "text_html": f"""SELECT file_id, md5(CASE WHEN content = '' THEN '' ELSE '<pre class="plain">' || replace(replace(replace(substr(content, 1, 200000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre>' END) AS digest FROM {_T} WHERE kind = 'text'""",
     "x_walk": """SELECT * FROM (VALUES ('empty.txt', '', 'empty.txt', '.txt', 'text', 0, false, false, 1, false), ('guide.md', '', 'guide.md', '.md', 'markdown', 3, false, false, 1, false), ('hollow', '', 'hollow', '', 'dir', 0, true, false, 1, false),
   ('link.md', '', 'link.md', '.md', 'markdown', 8, false, true, 1, false), ('notes', '', 'notes', '', 'dir', 0, true, false, 1, false), ('notes/a b', 'notes', 'a b', '', 'dir', 0, true, false, 2, false),
   ('notes/a b/ü.csv', 'notes/a b', 'ü.csv', '.csv', 'csv', 3, false, false, 3, false), ('notes/readme.txt', 'notes', 'readme.txt', '.txt', 'text', 1, false, false, 2, false), ('sub', '', 'sub', '', 'dir', 0, true, false, 1, false),

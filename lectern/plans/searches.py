@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from lectern.operators import search as S
 from lectern.session import spread
 
 AS_OF = 1767225600.0
-_COLS = "kb_id parent_rel path rel_path name ext kind mtime_ns is_dir is_deleted".split()
+_COLS = "kb_id parent_rel path rel_path name ext kind size mtime_ns is_dir is_deleted".split()
+#: Indexes kept for the life of an application, by its id and the data folder.
+_KEPT: dict[tuple[str, str], S.TextIndex] = {}
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,27 +36,54 @@ def _favorites(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "favorites")
 
 
+def _index(spark: SparkSession, sf: str) -> S.TextIndex:
+    """The kept index of a library: the first query makes it, later ones read it."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _KEPT:
+        _KEPT[at] = S.TextIndex.build(_last_texts(spark, sf))
+    return _KEPT[at]
+
+
 def _search(q: str, **more):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return S.search(_files(spark, sf), _texts(spark, sf), _favorites(spark, sf), q, AS_OF, **more)
+        return S.search(_files(spark, sf), _index(spark, sf), _favorites(spark, sf), q, AS_OF, **more)
 
     return run
 
 
 def _bm25(q: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return S.bm25(_texts(spark, sf), S.compile_query(q)).select("file_id", F.round("bm25", 6).alias("bm25"))
+        return _index(spark, sf).bm25(S.compile_query(q)).select("file_id", F.round("bm25", 6).alias("bm25"))
 
     return run
 
 
-def _index_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    index = S.TextIndex.build(_last_texts(spark, sf))
+def _bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a scan of all texts, without an index."""
+    return S.bm25(_texts(spark, sf), S.compile_query("backup archiv")).select("file_id", F.round("bm25", 6).alias("bm25"))
+
+
+def _index_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """An index whose texts were others first, then changed, some removed, then compacted: only the last state counts."""
+    texts = _last_texts(spark, sf)
+    index = S.TextIndex(spark)
+    index.add(texts.filter("file_id % 3 <> 0").withColumn("content", F.lit("backup archive backup")))
+    index.add(texts)
+    index.remove(texts.filter("file_id % 5 = 0"))
+    index.compact()
     return index.bm25(S.compile_query("backup archiv")).select("file_id", F.round("bm25", 6).alias("bm25"))
 
 
+def _envelope(spark: SparkSession, sf: str) -> DataFrame:
+    parts = []
+    for q, index in (("backup archive", True), ("打印机 backup", True), ("索引", True), ("backup", False)):
+        hits = S.search(_files(spark, sf), _index(spark, sf), _favorites(spark, sf), q, AS_OF, offset=-5, limit=500, has_index=index)
+        parts.append(S.envelope(hits, q, -5, 500, index))
+    return reduce(lambda a, b: a.union(b), parts).withColumn("terms", F.array_join("terms", "~"))
+
+
 def _grams(spark: SparkSession, sf: str) -> DataFrame:
-    return S.grams(_texts(spark, sf), ["打印机", "索引和".rstrip("和") + "、"])
+    return _index(spark, sf).grams(["打印机", "索引、"])
 
 
 def _likes(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,6 +96,10 @@ def _merge(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("file_id", "source", "base")
 
 
+def _recent(spark: SparkSession, sf: str) -> DataFrame:
+    return S.suggest(_files(spark, sf), " ", recents=table(spark, sf, "recents"))
+
+
 def _suggest(spark: SparkSession, sf: str) -> DataFrame:
     return S.suggest(_files(spark, sf), "Dra")
 
@@ -124,21 +159,31 @@ def _sql_like(c: str, q: str) -> str:
     return f"contains({low.format(c)}, '{q.lower()}')"
 
 
-def _sql_candidates(q: str, where: str = "true") -> str:
+def _sql_candidates(q: str, where: str = "true", engine: str | None = None) -> str:
     terms = S.query_terms(q)
-    engine = S.engine_for(q)[0]
+    engine = engine or S.engine_for(q)[0]
     gram = " AND ".join("(" + " OR ".join(f"coalesce(contains(lower({c}), '{x.lower()}'), false)" for c in ("name", "path", "content")) + ")" for x in terms)
-    parts = [f"SELECT * FROM (SELECT k.*, 1 AS source, round(0.35 * least(1.0, greatest(0.0, -bm25 / 10)), 6) AS base FROM b JOIN k USING (file_id) ORDER BY bm25, file_id LIMIT 300)"]
+    word = [f"SELECT * FROM (SELECT k.*, 1 AS source, round(0.35 * least(1.0, greatest(0.0, -bm25 / 10)), 6) AS base FROM b JOIN k USING (file_id) ORDER BY bm25, file_id LIMIT 300)"]
+    parts = word if engine != "like" else ["SELECT k.*, 1 AS source, 0.0 AS base FROM k WHERE false"]
     if engine == "word+gram":
         g = gram if all(len(x) >= 3 for x in terms) else "false"
         parts.append(f"SELECT * FROM (SELECT k.*, 2 AS source, 0.05 AS base FROM (SELECT file_id FROM t WHERE {g}) JOIN k USING (file_id) ORDER BY file_id LIMIT 300)")
     like = f"coalesce({_sql_like('k.name', q)} OR {_sql_like('k.rel_path', q)}, false) OR coalesce({_sql_like('t.content', q)}, false)"
-    return f"""WITH {_FILES}, {_sql_bm25(q)}, k AS (SELECT file_id, kb_id, parent_rel, path, rel_path, name, ext, kind, mtime_ns FROM f WHERE {_LIVE} AND {where}),
+    return f"""WITH {_FILES}, {_sql_bm25(q)}, k AS (SELECT file_id, kb_id, parent_rel, path, rel_path, name, ext, kind, size, mtime_ns FROM f WHERE {_LIVE} AND {where}),
 w AS ({' UNION ALL '.join(parts)}), l AS (SELECT k.*, 3 AS source, 0.0 AS base FROM k LEFT JOIN t USING (file_id) WHERE {like} ORDER BY mtime_ns DESC, file_id LIMIT 500),
 a AS (SELECT * FROM w UNION ALL SELECT * FROM l WHERE (SELECT count(DISTINCT file_id) FROM w) < 12),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY source) AS r FROM a) WHERE r = 1)"""
 
 
+#: Icons of kinds, written out.
+_ICON = """CASE WHEN page.kind IN ('pdf', 'markdown', 'text', 'docx') THEN 'fileText' WHEN page.kind = 'html' THEN 'globe' WHEN page.kind IN ('csv', 'xlsx') THEN 'chart' WHEN page.kind IN ('json', 'xml', 'yaml') THEN 'type'
+  WHEN page.kind = 'pptx' THEN 'layers' WHEN page.kind = 'code' THEN 'terminal' WHEN page.kind = 'image' THEN 'image' WHEN page.kind = 'audio' THEN 'music' WHEN page.kind = 'video' THEN 'video' ELSE 'file' END"""
+
+
+def _sql_total(q: str, engine: str | None = None) -> str:
+    return f"(SELECT count(*) FROM ({_sql_candidates(q, engine=engine)} SELECT * FROM u))"
+
+
 def _sql_mark(x: str, terms: list[str]) -> str:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
         x = f"replace({x}, '{a}', '{b}')"
@@ -147,7 +192,7 @@ def _sql_mark(x: str, terms: list[str]) -> str:
     return x
 
 
-def _sql_search(q: str, sort: str = "relevance", where: str = "true", limit: int = 40, favorites_only: bool = False) -> str:
+def _sql_search(q: str, sort: str = "relevance", where: str = "true", limit: int = 40, favorites_only: bool = False, offset: int = 0) -> str:
     terms = S.query_terms(q)
     score = "base"
     for t in terms:
@@ -160,11 +205,18 @@ def _sql_search(q: str, sort: str = "relevance", where: str = "true", limit: int
         at = f"CASE WHEN strpos(lower(content), '{t.lower()}') > 0 THEN strpos(lower(content), '{t.lower()}') ELSE {at} END"
     start = f"greatest({at} - 61, 0)"
     keys = {"time": "mtime_ns DESC, score DESC, file_id", "name": "lower(name), score DESC, file_id"}.get(sort, "score DESC, lower(name), file_id")
-    only = "WHERE favorite" if favorites_only else ""
+    if favorites_only:
+        where += " AND path IN (SELECT path FROM favorites WHERE path IS NOT NULL)"
+    held = " AND ".join(f"contains(c, '{t.lower()}')" for t in terms) if all(len(t) >= 3 for t in terms) else "false"
+    units = f"""hl AS (SELECT t.file_id, regexp_split_to_array(content, '\\r\\n|\\r|\\n') AS a FROM t JOIN page USING (file_id) WHERE kind = 'markdown' AND content IS NOT NULL),
+he AS (SELECT file_id, a, len(a) AS n, unnest(a) AS line, unnest(range(len(a))) AS i FROM hl),
+hh AS (SELECT *, row_number() OVER w AS no, coalesce(lead(i) OVER w, n) AS stop FROM he WHERE regexp_matches(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$') WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+hu AS (SELECT file_id, no, regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2) AS label, lower(array_to_string(a[i + 1:stop], chr(10))) AS c FROM hh),
+un AS (SELECT file_id, CAST(min(no) AS INT) AS unit_no, arg_min(label, no) AS unit_label FROM hu WHERE {held} GROUP BY 1)"""
     return f"""{_sql_candidates(q, where)}, m AS (SELECT u.*, coalesce(u.path IN (SELECT path FROM favorites WHERE path IS NOT NULL), false) AS favorite FROM u),
-z AS (SELECT *, round({score}, 4) AS score FROM m {only}), page AS (SELECT *, count(*) OVER () AS total FROM z ORDER BY {keys} LIMIT {limit})
-SELECT page.file_id, page.name, page.rel_path, page.kind, score, favorite, total, CASE WHEN coalesce(content, '') = '' THEN {_sql_mark("coalesce(rel_path, '')", terms)}
-  ELSE {_sql_mark(f"(CASE WHEN {start} > 0 THEN '… ' ELSE '' END || substr(content, {start} + 1, 220))", terms)} END AS snippet FROM page LEFT JOIN t USING (file_id)"""
+z AS (SELECT *, round({score}, 4) AS score FROM m), page AS (SELECT *, count(*) OVER () AS total FROM z ORDER BY {keys} LIMIT {limit}{f" OFFSET {offset}" if offset else ""}), {units}
+SELECT page.file_id, page.name, page.rel_path, page.kind, page.ext, page.size, {_ICON} AS icon, unit_no, unit_label, score, favorite, total, CASE WHEN coalesce(content, '') = '' THEN {_sql_mark("coalesce(rel_path, '')", terms)}
+  ELSE {_sql_mark(f"(CASE WHEN {start} > 0 THEN '… ' ELSE '' END || substr(content, {start} + 1, 220))", terms)} END AS snippet FROM page LEFT JOIN t USING (file_id) LEFT JOIN un USING (file_id)"""
 
 
 QUERIES = {
@@ -176,9 +228,14 @@ QUERIES = {
     "ft_search_accents": _search("große überflüssig"),
     "ft_search_cjk": _search("打印机"),
     "ft_search_short_cjk": _search("索引"),
+    "ft_search_page": _search("backup", offset=7, limit=5),
+    "ft_search_prefixed": _search("backup", filters=S.Filters(prefix="/2016-3w/")),
+    "ft_envelope": _envelope,
+    "ft_suggest_recent": _recent,
     "ft_bm25_phrase": _bm25("old_backup"),
     "ft_bm25_two": _bm25("backup archiv"),
-    "ft_bm25_index": _index_bm25,
+    "ft_bm25_scan": _bm25_scan,
+    "ft_bm25_index": _index_changes,
     "ft_trigram": _grams,
     "ft_like": _likes,
     "ft_candidates_merge": _merge,
@@ -197,7 +254,17 @@ SQL = {
     "ft_search_cjk": _sql_search("打印机"),
     "ft_bm25_phrase": f"WITH {_sql_bm25('old_backup')} SELECT file_id, round(bm25, 6) AS bm25 FROM b",
     "ft_bm25_two": f"WITH {_sql_bm25('backup archiv')} SELECT file_id, round(bm25, 6) AS bm25 FROM b",
-    "ft_bm25_index": f"WITH {_sql_bm25('backup archiv')} SELECT file_id, round(bm25, 6) AS bm25 FROM b",
+    "ft_bm25_scan": f"WITH {_sql_bm25('backup archiv')} SELECT file_id, round(bm25, 6) AS bm25 FROM b",
+    "ft_bm25_index": f"WITH {_sql_bm25('backup archiv').replace('FROM t)', 'FROM t WHERE file_id % 5 <> 0)')} SELECT file_id, round(bm25, 6) AS bm25 FROM b",
+    "ft_search_short_cjk": _sql_search("索引"),
+    "ft_search_page": _sql_search("backup", limit=5, offset=7),
+    "ft_search_prefixed": _sql_search("backup", where="(rel_path = '2016-3w' OR starts_with(rel_path, '2016-3w/'))"),
+    "ft_envelope": f"""SELECT * FROM (VALUES ('backup archive', 'backup~archive', 0, 200, 'word', false, ''), ('打印机 backup', '打印机~backup', 0, 200, 'word+gram', false, ''), ('索引', '索引', 0, 200, 'like', true, 'short terms'),
+  ('backup', 'backup', 0, 200, 'like', true, 'no index')) AS v(query, terms, "offset", "limit", engine, degraded, hint) JOIN (SELECT 'backup archive' AS query, {_sql_total('backup archive')} AS total UNION ALL SELECT '打印机 backup', {_sql_total('打印机 backup')}
+  UNION ALL SELECT '索引', {_sql_total('索引')} UNION ALL SELECT 'backup', {_sql_total('backup', 'like')}) USING (query)""",
+    "ft_suggest_recent": f"""WITH {_FILES}, r AS (SELECT path, arg_max(name, (last_opened, name)) AS name, max(last_opened) AS last FROM recents WHERE path IS NOT NULL GROUP BY 1),
+o AS (SELECT * FROM (SELECT path, file_id, rel_path, kind, row_number() OVER (PARTITION BY path ORDER BY file_id) AS rn FROM f) WHERE rn = 1)
+SELECT file_id, r.name, coalesce(rel_path, '') AS rel_path, coalesce(kind, 'other') AS kind, -1 AS rank FROM r LEFT JOIN o USING (path) ORDER BY last DESC, r.path LIMIT 30""",
     "ft_trigram": f"""WITH {_TEXTS} SELECT file_id FROM t WHERE (contains(lower(name), '打印机') OR contains(lower(path), '打印机') OR contains(lower(content), '打印机'))
   AND (contains(lower(name), '索引、') OR contains(lower(path), '索引、') OR contains(lower(content), '索引、'))""",
     "ft_like": f"""WITH {_FILES}, {_TEXTS} SELECT f.file_id FROM f LEFT JOIN t USING (file_id) WHERE {_LIVE} AND (coalesce({_sql_like('f.name', 'draft.')}

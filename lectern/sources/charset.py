@@ -9,9 +9,10 @@ _BOMS = [(codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codec
 _LEGACY = ["gb18030", "big5", "shift_jis", "euc-kr", "cp1251", "cp1252"]
 _WIDE = ["utf-16-le", "utf-16-be"]
 _SAMPLE = 20_000
-#: Frequent characters that real text can't do without: of simplified and of traditional Chinese, and of both.
+#: Frequent characters that real text can't do without: of simplified and of traditional Chinese, of both, and of Korean.
 _SIMPLE = set("这为来个们说国时会对发经当学种将还两开关问门间书东车见长马语题应实现")
 _TRADITIONAL = set("這為來個們說國時會對發經當學種將還兩開關問門間書東車見長馬語題應實現")
+_HANGUL = set("이다의는에을를가고하지로한서도어사기니나시인리스은자보해그대수일과전")
 _BOTH = set("的一是不了在人有我他之大以中上到和地也子道出而要于就下得可你年生自那后能着事其里所去行过家十用天如然作方成者多日都三小二无同么法起与好看进此心前面又定只主没公从")
 
 
@@ -45,7 +46,7 @@ def score(text: str, codec: str = "") -> float:
         elif 0x3041 <= o <= 0x30FF:
             points += 2 if codec in ("shift_jis", *_WIDE) else 0.6
         elif 0xAC00 <= o <= 0xD7A3:
-            points += 1.6 if codec in ("euc-kr", *_WIDE) else 0.2
+            points += (2 if c in _HANGUL else 0.5) if codec in ("euc-kr", *_WIDE) else 0.2
         elif 0x3000 <= o <= 0x303F or 0xFF00 <= o <= 0xFF5E:
             points += 0.8
         elif 0x400 <= o <= 0x45F:
@@ -75,5 +76,14 @@ def decode(data: bytes) -> tuple[str, str]:
         rivals = ["utf-8", *wide]
     except UnicodeDecodeError:
         rivals = [*_LEGACY, *wide]
-    best = max(rivals, key=lambda codec: score(head.decode(codec, "replace"), codec))
+    best = max(rivals, key=lambda codec: _wide_score(head, codec) if codec in wide else score(head.decode(codec, "replace"), codec))
     return best, data.decode(best, "replace")
+
+
+def _wide_score(head: bytes, codec: str) -> float:
+    """The score of a UTF-16 reading; none for one that is poor, or that has neither a character of one byte nor enough frequent ones: any
+    bytes read in pairs give some characters."""
+    text = head.decode(codec, "replace")
+    usual = sum(c in _BOTH or c in _SIMPLE or c in _TRADITIONAL or "\u3041" <= c <= "\u30ff" for c in text[:_SAMPLE])
+    points = score(text, codec)
+    return points if points >= 0.5 and (0 in head or usual >= 0.2 * min(len(text), _SAMPLE)) else float("-inf")

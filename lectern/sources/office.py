@@ -65,33 +65,43 @@ def _targets(z: zipfile.ZipFile, rels: str, base: str) -> dict[str, str]:
     return out
 
 
-def docx(data: bytes) -> tuple[str, list[tuple[str, int, str, str]]]:
-    """(text, sections): paragraphs and table rows in document order; a section starts at each heading paragraph."""
-    z = _package(data)
-    body = _xml(_part(z, "word/document.xml"), "word/document.xml").find(f"{_W}body")
-    lines: list[tuple[str, bool]] = []
+def _words(p: ET.Element) -> str:
+    say = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    return "".join(e.text or "" if e.tag == f"{_W}t" else say.get(e.tag, "") for e in p.iter())
 
-    def words(p: ET.Element) -> str:
-        out = []
-        for e in p.iter():
-            if e.tag == f"{_W}t":
-                out.append(e.text or "")
-            elif e.tag == f"{_W}tab":
-                out.append("\t")
-            elif e.tag in (f"{_W}br", f"{_W}cr"):
-                out.append("\n")
-        return "".join(out)
 
+def docx_blocks(data: bytes) -> Iterator[tuple[int, str | list[list[str]]]]:
+    """Paragraphs (heading level or 0, text) and tables (0, rows of cells) in document order. A heading has an outline level, or a style whose
+    id or name says so."""
+    z = _package(data)
+    body = _xml(_part(z, "word/document.xml"), "word/document.xml").find(f"{_W}body")
+    names: dict[str, str] = {}
+    if (raw := _part(z, "word/styles.xml")) is not None:
+        for s in _xml(raw, "word/styles.xml").iter(f"{_W}style"):
+            name = s.find(f"{_W}name")
+            names[s.get(f"{_W}styleId", "")] = name.get(f"{_W}val", "") if name is not None else ""
     for e in body if body is not None else []:
         if e.tag == f"{_W}p":
-            style = e.find(f"{_W}pPr/{_W}pStyle")
-            level = e.find(f"{_W}pPr/{_W}outlineLvl")
-            head = level is not None or (style is not None and re.match(r"(?i)heading|标题|見出し", style.get(f"{_W}val", "")) is not None)
-            lines.append((words(e), head))
+            style, outline = e.find(f"{_W}pPr/{_W}pStyle"), e.find(f"{_W}pPr/{_W}outlineLvl")
+            level = 0
+            if outline is not None and outline.get(f"{_W}val", "").isdigit():
+                level = int(outline.get(f"{_W}val")) + 1
+            elif style is not None:
+                used = style.get(f"{_W}val", "")
+                for said in (used, names.get(used, "")):
+                    if m := re.match(r"(?i)(?:heading|标题|見出し|title)\s*(\d*)", said):
+                        level = int(m[1] or 1)
+                        break
+            yield level, _words(e)
         elif e.tag == f"{_W}tbl":
-            for row in e.iter(f"{_W}tr"):
-                cells = [" ".join(words(p) for p in c.iter(f"{_W}p")).strip() for c in row.iter(f"{_W}tc")]
-                lines.append((" | ".join(c for c in cells if c), False))
+            yield 0, [[" ".join(_words(p) for p in c.iter(f"{_W}p")).strip() for c in row.iter(f"{_W}tc")] for row in e.iter(f"{_W}tr")]
+
+
+def docx(data: bytes) -> tuple[str, list[tuple[str, int, str, str]]]:
+    """(text, sections): paragraphs and table rows in document order; a section starts at each heading paragraph."""
+    lines: list[tuple[str, bool]] = []
+    for level, what in docx_blocks(data):
+        lines += [(what, level > 0)] if isinstance(what, str) else [(" | ".join(c for c in row if c), False) for row in what]
     units: list[tuple[str, int, str, str]] = []
     at: list[str] | None = None
     for text, head in lines:

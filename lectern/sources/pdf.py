@@ -99,6 +99,10 @@ def _literal(tok: bytes) -> bytes:
     return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), tok[1:-1], flags=re.S)
 
 
+#: Fixed value: the move, in thousandths of the font size, from which on two pieces of text are two words.
+GAP = -180
+
+
 def _page_text(content: bytes, fonts: dict[bytes, _Font]) -> str:
     out: list[str] = []
     stack: list[bytes] = []
@@ -117,7 +121,7 @@ def _page_text(content: bytes, fonts: dict[bytes, _Font]) -> str:
             for t in stack:
                 if t[:1] in (b"(", b"<"):
                     show(_literal(t))
-                elif tok == b"TJ" and t[:1] not in (b"[", b"]", b"/") and float(t) < -200:
+                elif tok == b"TJ" and t[:1] not in (b"[", b"]", b"/") and float(t) < GAP:
                     out.append(" ")
         elif tok in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
             out.append("\n")

@@ -118,3 +118,10 @@ def entries(spark: SparkSession, root: str, max_depth: int = 32, most: int | Non
         return rows.withColumn("capped", F.lit(False))
     more = rows.limit(most + 1).count() > most
     return (rows.orderBy("depth", "rel_path").limit(most) if more else rows).withColumn("capped", F.lit(more))
+
+
+def list_folder(spark: SparkSession, path: str, limit: int = 2000, files: bool = True) -> DataFrame:
+    """The entries of one folder as they are now, folders first, then by name; ``files`` or folders only; excluded names too."""
+    rows = entries(spark, path, max_depth=1, most=None, exclude=[])
+    rows = rows if files else rows.filter("is_dir")
+    return rows.orderBy(F.desc("is_dir"), F.lower("name"), "name").limit(limit).select("name", "is_dir", "is_symlink", "size", "kind", "mtime_ns")

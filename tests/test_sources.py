@@ -70,6 +70,51 @@ def test_plain_kinds():
     assert extract("video", b"x")["state"] == extract(None, b"x")["state"] == "unsupported"
 
 
+def test_html_text_hides_what_is_not_shown():
+    source = "<html><head><title>t</title><style>x</style></head><p>a <b>b</b></p>\n\n<script>if (a < b) x()</script><ul><li>one<li>t&amp;o</ul><!-- <p>no --><template>z<template>y</template></template>end <a title='>'>q</a>"
+    assert html_text(source) == "a b\n\none\nt&o\nend q" and html_text("") == "" and html_text("2 < 3") == "2 < 3"
+
+
+def test_charsets():
+    from lectern.sources.charset import decode
+
+    samples = {
+        "gb18030": "系统每天移动打印机，然后检查目录。", "big5": "這個系統每天移動印表機，然後檢查目錄與說明。", "shift_jis": "システムは毎日プリンタを移動します。次に目次を確認する。",
+        "euc-kr": "시스템은 매일 프린터를 옮기고 목차를 확인합니다.", "cp1251": "Система каждый день проверяет каталог и список.", "utf-16-le": "系统每天移动打印机，然后检查目录。 ok", "utf-16-be": "Plain words in wide letters.",
+        "utf-8": "naïve café", "cp1252": "Größe für Straße überprüft",
+    }
+    for codec, text in samples.items():
+        assert decode(text.encode(codec)) == (codec, text), codec
+    assert decode(b"") == ("utf-8", "") and decode("x".encode("utf-8-sig")) == ("utf-8-sig", "x")
+
+
+def test_workbook_dates_and_pages():
+    assert [office.is_date_format(*x) for x in [(14,), (2,), (47,), (170, "yyyy-mm-dd"), (171, '0.0" days"'), (172, "[Red]0"), (173, "[h]:mm"), (174, "General")]] == [True, False, True, True, False, False, True, False]
+    assert [office.serial_date(x) for x in ("60", "59", "1", "61.5", "45000.25", "-1", "x")] == ["1900-02-29", "1900-02-28", "1900-01-01", "1900-03-01 12:00:00", "2023-03-15 06:00:00", "-1", "x"]
+    data = office.make_xlsx([("first", [["name", "day", "n"], ["a", (45000, 1), (2.5, 3)], ["b", (45000.25, 2), (1, 0)], ["c", "", ""]]), ("second", [["only"]])])
+    text, units, cut = office.xlsx(data)
+    assert units[0][3].split("\n")[1:3] == ["a | 2023-03-15 | 2.5", "b | 2023-03-15 06:00:00 | 1"] and not cut and office.xlsx(data, 2)[2]
+    page = office.sheet_page(data, 0, 1, 1)
+    assert page["columns"] == ["name", "day", "n"] and page["rows"] == [{"r": 1, "c": ["b", "2023-03-15 06:00:00", "1"]}] and page["has_more"] and page["total_rows"] is None
+    last = office.sheet_page(data, 0, 2, 5)
+    assert not last["has_more"] and last["total_rows"] == 3 and office.sheet_page(data, 9, 0, 5)["sheet"] == "second"
+    assert extract("csv", b"a,b\n1,2\n3,4\n", rows=2)["truncated"] and extract("text", b"abcdef", most=3)["truncated"] and not extract("text", b"abc", most=3)["truncated"]
+
+
+def test_rendering():
+    from lectern.functions.render import docx_html, inline, markdown_html, safe_url
+
+    got = markdown_html("# A <b> #\n\ntext **bold** and *it* `x*y*`\nmore ~~no~~\n\n- one\n- [two](a.md)\n1. n\n> q1\n> q2\n---\n```py\nif a < b:\n```\n| h | i |\n|---|:--:|\n| 1 | **2** |\nend")
+    assert got == "\n".join([
+        "<h1>A &lt;b&gt;</h1>", "<p>text <strong>bold</strong> and <em>it</em> <code>x*y*</code> more <del>no</del></p>", '<ul><li>one</li><li><a href="a.md" target="_blank" rel="noopener noreferrer">two</a></li></ul>', "<ol><li>n</li></ol>", "<blockquote>q1 q2</blockquote>", "<hr/>",
+        '<pre class="lang-py"><code>if a &lt; b:</code></pre>', '<table class="md-table"><thead><tr><th>h</th><th>i</th></tr></thead><tbody><tr><td>1</td><td><strong>2</strong></td></tr></tbody></table>', "<p>end</p>",
+    ])
+    assert inline("[x](javascript:alert(1)) ![p](a.png)").startswith("x") and 'class="md-image"' in inline("![p](a.png)")
+    assert [safe_url(x) for x in ("//h/x", "tel:1", "ftp://x", " a b ", "java\nscript:x", "https://x", "")] == [None, "tel:1", None, "a b", None, "https://x", None]
+    assert markdown_html(None) == markdown_html("") == "" and markdown_html("<script>x</script>") == "<p>&lt;script&gt;x&lt;/script&gt;</p>"
+    assert docx_html(office.make_docx(["Top", "a < b"], {0})) == "<h1>Top</h1>\n<p>a &lt; b</p>"
+
+
 def test_image_sizes():
     assert image_size(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x10\0\0\0\x0c") == (16, 12)
     assert image_size(b"GIF89a\x20\0\x10\0") == (32, 16)
