@@ -163,7 +163,7 @@ def brute_spans(docs, win):
     return out
 
 
-@pytest.mark.parametrize(("seed", "batches"), [(1, 1), (2, 2), (3, 5)])
+@pytest.mark.parametrize(("seed", "batches"), [(1, 1), (3, 4)])
 def test_spans_equal_brute_force(spark, seed, batches):
     r = random.Random(seed)
     letter = lambda n: "".join(r.choice("ab c日é\U0001f600") for _ in range(n))
