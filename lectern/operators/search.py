@@ -207,8 +207,7 @@ def search(files: DataFrame, texts: DataFrame | TextIndex, favorites: DataFrame,
     limit, offset = max(1, min(200, limit)), max(0, min(100_000, offset))
     if favorites_only:
         files = files.join(favorites.filter("path is not null").select("path").distinct(), "path", "left_semi")
-    found = materialize(candidates(files, texts, q, filters or Filters(), has_index), "candidates")  # at most 1 100 rows
-    rows = rerank(found, q, favorites, as_of)
+    rows = rerank(candidates(files, texts, q, filters or Filters(), has_index), q, favorites, as_of)
     rows = rows.withColumn("total", F.count("*").over(W.partitionBy(F.lit(1))))  # at most 1 100 candidates
     rows = rows.withColumn("icon", lookup(F.col("kind"), ICONS, "file"))
     page = rows.orderBy(*order(sort)).offset(offset).limit(limit).select("file_id", "name", "rel_path", "kind", "ext", "size", "icon", "score", "favorite", "total")
@@ -338,8 +337,8 @@ class TextIndex:
         self._write(rows.join(docs, [key, "version"]).repartition("bucket", "slice"), "postings", part, ["bucket", "slice"], ["term", key])
         low = F.concat_ws("\0", *[F.lower(F.coalesce(c, F.lit(""))) for c in self.FIELDS])
         some = own.select(key, "version", "slice", low.alias("low")).filter(F.col("low").rlike(_CJK.pattern))
-        at = F.sequence(F.lit(1), F.length("low") - 2)
-        grams_ = F.filter(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(3)))), lambda g: g.rlike(_CJK.pattern))
+        c = _CJK.pattern
+        grams_ = F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?s)(?=({c}..|.{c}.|..{c}))"), F.lit(1)))  # overlapping ones, in one pass
         rows = some.select(key, "version", "slice", F.explode(grams_).alias("gram")).withColumn("bucket", self._bucket(F.col("gram")))
         self._write(rows.repartition("bucket", "slice"), "grams", part, ["bucket", "slice"], ["gram", key])
         state = dict(self.state)
@@ -422,12 +421,14 @@ class TextIndex:
         if not phrases or not self.state["texts"]:
             return self.spark.createDataFrame([], f"{self.key} long, bm25 double")
         weight = F.element_at(F.array(*[F.lit(WEIGHTS[c]) for c in self.FIELDS]), F.col("field") + 1)
-        parts = [self._phrase(p).groupBy(self.key, "len").agg(F.sum(F.col("tf") * weight).alias(f"f{i}")) for i, p in enumerate(phrases)]
-        parts = [materialize(p, "phrase") for p in parts] if len(parts) > 1 else parts
-        stats = reduce(lambda a, b: a.join(F.broadcast(b)), [p.agg(F.count("*").alias(f"d{i}")) for i, p in enumerate(parts)])  # one row each
-        rows = reduce(lambda a, b: a.join(b, [self.key, "len"]), parts).join(F.broadcast(stats))  # one row
+        each = [self._phrase(p).select(self.key, "len", (F.col("tf") * weight).alias("f"), F.lit(i).alias("i")) for i, p in enumerate(phrases)]
+        parts = range(len(phrases))
+        rows = reduce(lambda x, y: x.unionByName(y), each).groupBy(self.key, "len").agg(*[F.sum(F.when(F.col("i") == i, F.col("f")).otherwise(0.0)).alias(f"f{i}") for i in parts])
+        rows = materialize(rows, "phrases")
+        stats = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in parts])  # one row
+        rows = rows.filter(reduce(lambda x, y: x & y, [F.col(f"f{i}") > 0 for i in parts])).join(F.broadcast(stats))
         n, mean, total = self.state["texts"], self.state["length"] / self.state["texts"] or 1.0, F.lit(0.0)
-        for i in range(len(parts)):
+        for i in parts:
             raw = F.ln((n - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
             f = F.col(f"f{i}")
             total = total + F.when(raw <= 0, 1e-6).otherwise(raw) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("len") / mean))
