@@ -12,18 +12,20 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shingles import _powers, code_points, mix
 
-#: Where the public vocabularies lie on every machine; a parameter of all functions.
+#: Where the public vocabulary lies on the driver's machine; a parameter of all functions.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 _SPACE, _LETTER, _NUMBER, _OTHER, _EDGE = range(5)
 _EDGE_CP = 0x110000  # stands between texts, no code point
@@ -239,14 +241,20 @@ def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.
         yield pa.concat_arrays(keys), texts
 
 
+def _ship(docs: DataFrame, path: str) -> str:
+    """Sends the vocabulary file with the job; the name under which the executors find it."""
+    docs.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def token_ids(docs: DataFrame, key: str, text: str, path: str = VOCABULARY, chunk_chars: int = 4_000_000) -> DataFrame:
     """(key, ids array<int>): each row's text encoded; the empty list for null and empty texts. Rows aren't merged or dropped;
     other columns of ``docs`` don't matter. No shuffle."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, name = docs.schema[key].dataType.simpleString(), _ship(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _chunks(batches, chunk_chars):
-            ids, count = encode(texts, path)
+            ids, count = encode(texts, SparkFiles.get(name))
             ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
             for lo in range(0, len(keys), 2000):
@@ -258,10 +266,11 @@ def token_ids(docs: DataFrame, key: str, text: str, path: str = VOCABULARY, chun
 def token_counts(docs: DataFrame, keys: list[str], text: str, path: str = VOCABULARY, chunk_chars: int = 4_000_000) -> DataFrame:
     """The key columns and n_tokens (long): 0 for null and empty texts."""
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    name = _ship(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, texts in _chunks(batches, chunk_chars):
-            _, count = encode(texts, path, count_only=True)
+            _, count = encode(texts, SparkFiles.get(name), count_only=True)
             yield pa.RecordBatch.from_arrays([*key.flatten(), pa.array(count, pa.int64())], [*keys, "n_tokens"])
 
     return docs.select(F.struct(*keys).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"{kinds}, n_tokens long")
