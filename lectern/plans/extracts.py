@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
-import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.corpus import table, texts
 from lectern.functions import render
-from lectern.session import spread
+from lectern.session import scratch, spread
 from lectern.sources import office, walker
 from lectern.sources.extract import extract_files
 
@@ -127,10 +124,9 @@ def _sheet(spark: SparkSession, sf: str) -> DataFrame:
     return made.mapInArrow(page, "file_id long, columns string, cells string, has_more boolean")
 
 
-def _library() -> str:
-    """A folder tree with links, empty, deep and excluded folders; the walk reads folders that its executors see."""
-    root = os.path.join(tempfile.mkdtemp(prefix="lectern-walk-"), "library")
-    atexit.register(shutil.rmtree, os.path.dirname(root), ignore_errors=True)
+def _library(spark: SparkSession) -> str:
+    """A folder tree with links, empty, deep and excluded folders, in the shared folder: the walk reads folders that its executors see."""
+    root = os.path.join(re.sub("^file:(//)?", "", scratch(spark, "walk")), "library")
     for name, data in (("guide.md", "# A"), ("notes/readme.txt", "x"), ("notes/a b/ü.csv", "a,b"), ("sub/deep/er/nested.md", "y"), ("node_modules/x.js", "z"), ("empty.txt", "")):
         os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
         with open(os.path.join(root, name), "w") as f:
@@ -143,12 +139,12 @@ def _library() -> str:
 def _walk(spark: SparkSession, sf: str) -> DataFrame:
     """The tree walked and joined to kinds, as the catalogue takes it."""
     walker.register(spark)
-    return walker.entries(spark, _library(), max_depth=3).select("rel_path", "parent_rel", "name", "ext", "kind", "size", "is_dir", "is_symlink", "depth", "truncated")
+    return walker.entries(spark, _library(spark), max_depth=3).select("rel_path", "parent_rel", "name", "ext", "kind", "size", "is_dir", "is_symlink", "depth", "truncated")
 
 
 def _listed(spark: SparkSession, sf: str) -> DataFrame:
     walker.register(spark)
-    return walker.list_folder(spark, _library(), limit=7).select("name", "is_dir", "kind", "size")
+    return walker.list_folder(spark, _library(spark), limit=7).select("name", "is_dir", "kind", "size")
 
 
 def _rendered(spark: SparkSession, sf: str) -> DataFrame:
