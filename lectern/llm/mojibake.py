@@ -378,6 +378,17 @@ def repair(text: str, hits: dict[str, Hits], least: float = 0.6, enough: float =
     confirmed = {name for name, (_, sure, _, exact) in hits.items() if exact or any(_chain(name)[0] == "utf-8" and restore(w, _chain(name)) == o for w, (_, o) in sure.items())}
     weight: Counter = Counter()
     words = 0
+    with_pair: dict[str, list[int]] = {}  # the chains, by their place in the order, that know a pair
+    for i, name in enumerate(order):
+        for p in hits[name][0] | hits[name][2]:
+            with_pair.setdefault(p, []).append(i)
+
+    def near(run: str) -> list[str]:
+        """The chains that know some pair of a passage, in their order: no other covers a part of it."""
+        own: set[int] = set()
+        for i in range(len(run) - 1):
+            own.update(with_pair.get(run[i : i + 2], ()))
+        return [order[i] for i in sorted(own)]
 
     def proves(run: str, new: str, name: str, chain: tuple[str, str, int]) -> bool:
         """Whether the bytes of a passage suffice, however common its pairs are."""
@@ -412,12 +423,12 @@ def repair(text: str, hits: dict[str, Hits], least: float = 0.6, enough: float =
         run = m[0]
         if len(run) < 2:
             return run
-        return next((new for name in order if (new := attempt(run, name, least)) is not None), run)
+        return next((new for name in near(run) if (new := attempt(run, name, least)) is not None), run)
 
     def again(m: re.Match) -> str:
         run = m[0]
-        for name in sure:
-            if len(run) > 3 and (new := attempt(run, name, 0.25)) is not None and "�" not in new:
+        for name in [n for n in near(run) if n in sure] if len(run) > 3 else []:
+            if (new := attempt(run, name, 0.25)) is not None and "�" not in new:
                 return new
         return run
 
