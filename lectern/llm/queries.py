@@ -48,6 +48,19 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(texts(table(spark, sf, "files"), long, ["kind"]), limits)
 
 
+def p2_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The files in pieces put together again: the digest of their text, the longest piece, and the overlaps between pieces."""
+    w = W.partitionBy("file_id").orderBy("piece_no")
+    pieces = p2_pieces(spark, sf).withColumn("over", F.lag("end").over(w) - F.col("start"))
+    new = F.expr("substring(piece, coalesce(over, 0) + 1)")
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new"))))  # the pieces of one text
+    out = pieces.groupBy("file_id").agg(parts.alias("parts"), F.max(F.length("piece")).alias("longest"), F.min("over").alias("least_over"), F.max("over").alias("most_over"))
+    limits = table(spark, sf, "split_limits").groupBy("kind").agg(F.max("max_chars").alias("max_chars"))
+    kinds = table(spark, sf, "files").filter("id is not null").groupBy(F.col("id").alias("file_id")).agg(F.max("kind").alias("kind"))
+    out = out.join(kinds, "file_id").join(limits, "kind")
+    return out.select("file_id", F.md5(F.array_join(F.transform("parts", lambda x: x["new"]), "")).alias("digest"), (F.col("longest") <= F.col("max_chars")).alias("within"), "least_over", "most_over")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Files that came out in pieces."""
     return p2_pieces(spark, sf).filter("piece_no = 1 and n_pieces > 1").select("file_id")
@@ -144,7 +157,7 @@ def p8_amount(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_kept": p7_kept,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_whole": p2_whole, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_kept": p7_kept,
         "p8_found": p8_found, "p8_batches": p8_batches, "p8_amount": p8_amount,
     }
 
@@ -182,6 +195,8 @@ def oracle_sql() -> dict[str, str]:
         "p8_amount": f"""SELECT doc_id, coalesce(spans, 0) AS spans, coalesce(shared_chars, 0) AS shared_chars, chars, coalesce(shared_chars / nullif(chars, 0), 0.0) AS part
   FROM (SELECT doc_id, max(coalesce(length(text), 0)) AS chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)
   LEFT JOIN (SELECT doc_id, count(*) AS spans, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars FROM ({_SPANS_SQL}) GROUP BY 1) USING (doc_id)""",
+        "p2_whole": """SELECT t.file_id, md5(any_value(t.content)) AS digest, true AS within, any_value(l.overlap_chars) AS least_over, any_value(l.overlap_chars) AS most_over FROM file_text t
+  JOIN (SELECT DISTINCT id, kind FROM files) f ON f.id = t.file_id JOIN split_limits l USING (kind) WHERE length(t.content) > l.max_chars GROUP BY 1""",
         "p7_kept": "SELECT DISTINCT source, true AS cap_kept, true AS numbered, true AS share_kept FROM mix_targets WHERE source IS NOT NULL AND target_share > 0",
         "p2_found": """SELECT DISTINCT t.file_id FROM file_text t JOIN (SELECT DISTINCT id, kind FROM files) f ON f.id = t.file_id
 JOIN split_limits l USING (kind) WHERE length(t.content) > l.max_chars""",

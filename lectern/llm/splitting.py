@@ -82,7 +82,7 @@ def _place(text: str, at: np.ndarray, strength: np.ndarray, k: int, most: int, o
     ends: list[int] = []
     for i in range(k - 1):
         start = ends[-1] - overlap if ends else 0
-        low = (ends[-1] if ends else 0) + 1
+        low = (ends[-1] if ends else overlap) + 1  # so that every piece starts after the one before
         high = min(start + most, len(text) - 1)
         if low > high:
             return None

@@ -21,7 +21,7 @@ def test_pieces_lose_nothing(text, kind, most, overlap):
     got = pieces(text, kind, most, overlap)
     over = min(max(0, overlap), most - 1)
     assert got[0][0] == 0 and got[-1][1] == len(text) and all(e - s <= most for s, e in got)
-    assert all(b[0] == a[1] - over and b[1] > a[1] for a, b in zip(got, got[1:]))
+    assert all(b[0] == a[1] - over and b[0] > a[0] and b[1] > a[1] for a, b in zip(got, got[1:]))
     if len(text) > most:
         assert text == text[: got[0][1]] + "".join(text[a[1] : b[1]] for a, b in zip(got, got[1:]))
 
@@ -38,6 +38,13 @@ def test_cuts_lie_at_the_strongest_boundary():
     assert len(at) == len(strength) == 0
 
 
+def test_a_boundary_inside_the_overlap_is_no_cut():
+    text = "# Head\n\n" + "word " * 400
+    got = pieces(text, "markdown", 900, 300)
+    assert got[0][1] > 300 and all(0 <= s < e for s, e in got)
+    assert text == text[: got[0][1]] + "".join(text[b[0] : b[1]][a[1] - b[0] :] for a, b in zip(got, got[1:]))
+
+
 def test_split_table(spark):
     rows = [(1, "text", "x y. " * 100, 1), (2, "text", "short", 1), (3, "text", None, 1), (4, "nolimit", "z" * 999, 1), (5, None, "z" * 999, 1), (6, "text", "", 1)]
     texts = spark.createDataFrame(rows, "file_id long, kind string, content string, max_chars int")
